@@ -10,7 +10,7 @@ Documents with one text are parsed once, as a class. Entries shared by very many
 characters around them, in ``WAYS`` ways of which any two documents with a long enough span agree in one; nothing is capped.
 
 Defined cases: null and empty texts and texts under ``LEAST`` characters share nothing; documents with equal text share all
-of it; repeated rows (same id and text) count once. Positions count characters from 0.
+of it; repeated rows (same id and text) count once; ids are otherwise unique. Positions count characters from 0.
 """
 
 from __future__ import annotations
@@ -98,17 +98,19 @@ def classes_of(documents: DataFrame, id_col: str = "doc_id", text: str = "text")
     return rows.join(named, "_key").select("doc_id", "class_id", "members")
 
 
-def factors(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def factors(documents: DataFrame, classes: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Longest common spans between classes of documents: (class_a, class_b, start_a, start_b, length), class_a < class_b."""
     long = documents.select(F.col(id_col).alias("class_id"), F.col(text).alias("text")).where((F.length("text") >= LEAST) & F.col("class_id").isNotNull())
-    texts = long.groupBy(text_key(F.col("text")).alias("_key")).agg(F.min("class_id").alias("class_id"), F.any_value("text").alias("text")).select("class_id", "text")
-    texts = cut(texts)
+    copies = classes.where("doc_id != class_id").select(F.col("doc_id").alias("class_id"))
+    texts = long.join(copies, "class_id", "left_anti")
+    # One exchange serves both readers of the index, since both read all its columns.
     index = texts.mapInPandas(entries, "block long, class_id long, place int").repartition("block")
-    shared = index.groupBy("block").agg(F.count("*").alias("n"), F.min("class_id").alias("_a"), F.max("class_id").alias("_b")).where("_a != _b").select("block", "n")
+    shared = index.groupBy("block").agg(F.count("*").alias("n"), F.min("class_id").alias("_a"), F.max("class_id").alias("_b"), F.max("place").alias("_last"))
+    shared = shared.where("_a != _b and _last >= 0").select("block", "n")
     hits = index.join(shared, "block")
     # Texts of the documents with shared entries give the characters around each; the list of a document is bounded by its text.
     places = hits.groupBy("class_id").agg(F.collect_list(F.struct("block", "place", "n")).alias("_hits"))
-    spread = texts.join(places, "class_id").select("class_id", "text", F.explode("_hits").alias("_h")).select("class_id", "text", "_h.*")
+    spread = long.join(places, "class_id").select("class_id", "text", F.explode("_hits").alias("_h")).select("class_id", "text", "_h.*")
     before = F.reverse(F.substr("text", F.greatest(F.col("place") - ROOM, F.lit(0)) + 1, F.least("place", F.lit(ROOM))))
     blocks = cut(spread.select("class_id", "block", "place", "n", before.alias("before"), F.substr("text", F.col("place") + BLOCK + 1, F.lit(ROOM)).alias("after")))
     step = ROOM // WAYS
@@ -139,19 +141,20 @@ def factors(documents: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 def sharing_pairs(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Every two documents (doc_a < doc_b) with at least LEAST characters in common."""
     classes = cut(classes_of(documents.where(F.length(text) >= LEAST), id_col, text))
-    between = factors(documents, id_col, text).select("class_a", "class_b").distinct()
+    between = factors(documents, classes, id_col, text).select("class_a", "class_b").distinct()
     a = classes.select(F.col("doc_id").alias("_x"), F.col("class_id").alias("class_a"))
     b = classes.select(F.col("doc_id").alias("_y"), F.col("class_id").alias("class_b"))
     pairs = between.join(a, "class_a").join(b, "class_b").select("_x", "_y")
     same = classes.where("members > 1")
     within = same.select(F.col("doc_id").alias("_x"), "class_id").join(same.select(F.col("doc_id").alias("_y"), "class_id"), "class_id").where("_x < _y").select("_x", "_y")
-    return pairs.unionByName(within).select(F.least("_x", "_y").alias("doc_a"), F.greatest("_x", "_y").alias("doc_b"))
+    return pairs.unionByName(within).select(F.least("_x", "_y").alias("doc_a"), F.greatest("_x", "_y").alias("doc_b")).distinct()
 
 
 def shared_portions(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_chars, shared_chars, shared_share, spans, copies): how much of each document stands elsewhere too."""
     sizes = documents.select(F.col(id_col).alias("doc_id"), F.length(text).alias("n_chars")).where("doc_id is not null and n_chars is not null").distinct()
-    found = cut(factors(documents, id_col, text))
+    classes = cut(classes_of(documents, id_col, text))
+    found = cut(factors(documents, classes, id_col, text).distinct())
     spans = found.select(F.col("class_a").alias("class_id"), F.col("start_a").alias("start"), (F.col("start_a") + F.col("length")).alias("end"))
     spans = spans.unionByName(found.select(F.col("class_b").alias("class_id"), F.col("start_b").alias("start"), (F.col("start_b") + F.col("length")).alias("end")))
     # Of the spans that begin at one place only the longest matters, so a document's spans are bounded by its length.
@@ -159,7 +162,6 @@ def shared_portions(documents: DataFrame, id_col: str = "doc_id", text: str = "t
     so_far = F.max("end").over(W.partitionBy("class_id").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
     covered = spans.withColumn("_to", F.coalesce(so_far, F.lit(-1)))
     covered = covered.groupBy("class_id").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "_to"))).alias("covered"), F.count_if(F.col("start") > F.col("_to")).alias("spans"))
-    classes = classes_of(documents, id_col, text)
     out = sizes.join(classes, "doc_id").join(covered, "class_id", "left")
     whole = (F.col("members") > 1) & (F.col("n_chars") >= LEAST)
     shared = F.when(whole, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0))).cast("int")

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import p01_format_duplicates as p01
+from . import p04_encodings as p04
 from . import p05_repeated_lines as p05
 from . import p06_visual_forms as p06
+from . import p07_languages as p07
 from . import p10_shared_spans as p10
 from .common import load
 
@@ -23,6 +25,16 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p01.collapse(load(spark, sf_dir, "passages"), "pid", "text_search")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages")
+    return p04.restore(pages, p04.train(pages), ["doc_id", "pdf_page"]).select("doc_id", "pdf_page").distinct()
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages")
+    return p04.restore(pages, p04.train(pages), ["doc_id", "pdf_page"])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p05.page_lines(load(spark, sf_dir, "pages")).select("doc_id", "pdf_page", "line_no")
 
@@ -43,6 +55,16 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p06.consistent(load(spark, sf_dir, "passages"), "pid", "text_raw")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = p07.train(load(spark, sf_dir, "lang_samples"))
+    return p07.wanting(load(spark, sf_dir, "passages"), model, "pid", "text_raw", "lang").withColumnRenamed("id", "pid")
+
+
+def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = p07.train(load(spark, sf_dir, "lang_samples"))
+    return p07.identify(load(spark, sf_dir, "passages"), model, "pid", "text_raw").withColumnRenamed("id", "pid")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10.sharing_pairs(load(spark, sf_dir, "documents"))
 
