@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .p06_visual_forms import canonical
+
 TRAIN_ROWS = 2000
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -179,7 +181,7 @@ def reader(model: Model) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
                     if LETTER_RUN.search(NO_WORD.sub(" ", s)):
                         parts.append(s)
                         owner.append(i)
-            p, known = model.probabilities(parts) if parts else (np.zeros((0, len(model.languages))), np.zeros(0))
+            p, known = model.probabilities([canonical(x) for x in parts]) if parts else (np.zeros((0, len(model.languages))), np.zeros(0))
             best = p.argmax(1) if len(parts) else np.zeros(0, dtype=int)
             by: list[list[int]] = [[] for _ in range(len(batch))]
             for j, i in enumerate(owner):

@@ -11,6 +11,8 @@ from . import p04_encodings as p04
 from . import p05_repeated_lines as p05
 from . import p06_visual_forms as p06
 from . import p07_languages as p07
+from . import p08_containers as p08
+from . import p09_mixing as p09
 from . import p10_shared_spans as p10
 from .common import load
 
@@ -65,6 +67,22 @@ def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p07.identify(load(spark, sf_dir, "passages"), model, "pid", "text_raw").withColumnRenamed("id", "pid")
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p08.pack(load(spark, sf_dir, "documents"), load(spark, sf_dir, "container_specs"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p08.fill(p8_containers(spark, sf_dir))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p09.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p09.shares(p9_mix(spark, sf_dir), load(spark, sf_dir, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10.sharing_pairs(load(spark, sf_dir, "documents"))
 
