@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import p01_format_duplicates as p01
+from . import p03_page_kinds as p03
 from . import p04_encodings as p04
 from . import p05_repeated_lines as p05
 from . import p06_visual_forms as p06
@@ -27,6 +29,15 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p01.collapse(load(spark, sf_dir, "passages"), "pid", "text_search")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = p03.kinds(load(spark, sf_dir, "pages"), load(spark, sf_dir, "common_words"), ["doc_id", "pdf_page"])
+    return kinds.where(F.col("kind").isin("list", "table", "junk")).select("doc_id", "pdf_page", "kind").distinct()
+
+
+def p3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p03.kinds(load(spark, sf_dir, "pages"), load(spark, sf_dir, "common_words"), ["doc_id", "pdf_page"])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages")
     return p04.restore(pages, p04.train(pages), ["doc_id", "pdf_page"]).select("doc_id", "pdf_page").distinct()
