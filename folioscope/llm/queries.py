@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import p01_format_duplicates as p01
+from . import p02_scan_noise as p02
 from . import p03_page_kinds as p03
 from . import p04_encodings as p04
 from . import p05_repeated_lines as p05
@@ -29,6 +30,14 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p01.collapse(load(spark, sf_dir, "passages"), "pid", "text_search")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p02.defects(load(spark, sf_dir, "pages")).select("doc_id", "pdf_page", "line_no", "defect").distinct()
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p02.repaired(load(spark, sf_dir, "pages"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = p03.kinds(load(spark, sf_dir, "pages"), load(spark, sf_dir, "common_words"), ["doc_id", "pdf_page"])
     return kinds.where(F.col("kind").isin("list", "table", "junk")).select("doc_id", "pdf_page", "kind").distinct()
