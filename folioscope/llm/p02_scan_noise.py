@@ -15,11 +15,13 @@ rows count once; a line may have several defects, each once.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,8 @@ from .common import cut
 
 LEAST_PAGES = 3
 LEAST_SHARE = 0.01
-EDGE_LINES = 4
+EDGE_LINES = 3
+RUNNING_CHARS = 72
 NEAR = 0.2
 #: A misread word's pattern must be so much more frequent, and stand so often on pages that weren't scanned.
 RATIO, LEAST_CLEAN = 10, 3
@@ -37,19 +40,26 @@ GROUPS = [("rn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("vv", "w"), ("li"
 # Marks that part a word at a line's end; the first two may also belong to a compound.
 HYPHENS, SOFT = "-‐", "¬\xad‑"
 
-WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-COMPOUND = regex.compile(r"(?<![\p{L}\p{M}])\p{L}[\p{L}\p{M}]*[-‐]\p{L}[\p{L}\p{M}]*")
-BROKEN = regex.compile(r"[\p{L}\p{M}]+[-‐‑¬\xad][^\S\n]*\n[^\S\n]*[\p{L}\p{M}]*")
-END = regex.compile(r"([\p{L}\p{M}]+)([-‐‑¬\xad])\s*$")
-BEGIN = regex.compile(r"^\s*([\p{L}\p{M}]+)")
-NUMBER = regex.compile(r"^[^\p{L}\p{N}]*(?:(\p{Nd}{1,4})|([ivxlcIVXLC]{1,7}))[^\p{L}\p{N}]*$")
-NOT_KEY = regex.compile(r"[^\p{L}\p{N}]+")
-EDGE_NUMBER = regex.compile(r"^[^\p{L}\p{N}]*\p{N}+(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\p{N}+[^\p{L}\p{N}]*$")
-ARABIC, LATIN = regex.compile(r"\p{Arabic}"), regex.compile(r"[A-Za-z]")
-FRAGMENT = regex.compile(r"^[A-Za-z]{1,4}[.,،؛;:]?$")
-LONG_LATIN = regex.compile(r"[A-Za-zÀ-ɏ]{4}")
-TRIPLED = regex.compile(r"(\p{L})\1\1")
-ASCII_MARKS = regex.compile(r"[!-/:-@\[-`{-~]")
+WORD = re.compile(r"[^\W_]+")
+COMPOUND = re.compile(r"(?<!\w)[^\W\d_]+[-‐][^\W\d_]+")
+BREAK = re.compile(r"[-‐‑¬\xad][ \t]*\n")
+BROKEN = re.compile(r"[^\W\d_]+[-‐‑¬\xad][ \t]*\n[ \t]*[^\W\d_]*")
+END = re.compile(r"([^\W\d_]+)([-‐‑¬\xad])\s*$")
+BEGIN = re.compile(r"\s*([^\W\d_]+)")
+NUMBER = re.compile(r"[\W_]*(?:(\d{1,4})|([ivxlcIVXLC]{1,7}))[\W_]*$")
+NOT_KEY = re.compile(r"[\W_]+")
+EDGE_NUMBER = re.compile(r"^[\W_]*\d+(?!\w)|(?<!\w)\d+[\W_]*$")
+WITHIN = re.compile(r"[.;:،؛]\s|,\s.*,\s")
+ARABIC, LATIN = re.compile("[\u0620-\u06ff\ufb50-\ufdff\ufe70-\ufefc]"), re.compile(r"[A-Za-z]")
+FRAGMENT = re.compile(r"^[A-Za-z]{1,4}[.,،؛;:]?$")
+LONG_LATIN = re.compile(r"[A-Za-zÀ-ɏ]{4}")
+TRIPLED = re.compile(r"([^\W\d_])\1\1\S*")
+ASCII_MARKS = re.compile(r"[!-/:-@\[-`{-~]")
+MARKS = re.compile("[\u0300-\u036f\u0653-\u0655]")
+
+
+def composed(text: str) -> str:
+    return unicodedata.normalize("NFC", text) if MARKS.search(text) else text
 
 
 def junk(text: str) -> bool:
@@ -59,7 +69,7 @@ def junk(text: str) -> bool:
     if not tokens:
         return False
     n = len(tokens)
-    return sum(len(t) <= 2 for t in tokens) > 0.6 * n or chars > 30 * n or len(ASCII_MARKS.findall(text)) > 0.35 * chars or sum(bool(TRIPLED.search(t)) for t in tokens) > 0.3 * n
+    return chars > 30 * n or sum(len(t) <= 2 for t in tokens) > 0.6 * n or len(TRIPLED.findall(text)) > 0.3 * n or len(ASCII_MARKS.findall(text)) > 0.35 * chars
 
 
 def roman(word: str) -> int:
@@ -67,6 +77,11 @@ def roman(word: str) -> int:
     return sum(-v if any(x > v for x in values[i + 1 : i + 2]) else v for i, v in enumerate(values))
 
 
+def unbroken(text: str) -> str:
+    """The text without the words that its line ends break."""
+    return BROKEN.sub("\n", text) if BREAK.search(text) else text
+
+
 def scanned() -> Column:
     return F.col("engine").startswith("ocr")
 
@@ -76,10 +91,11 @@ def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         counts = Counter(), Counter()
         for ocr, text in zip(batch["ocr"], batch["text"], strict=True):
-            text = BROKEN.sub("\n", text.lower())
-            counts[bool(ocr)].update(w for w in WORD.findall(text) if not w.isdigit())
-            counts[bool(ocr)].update(COMPOUND.findall(text))
-        words = list(counts[0].keys() | counts[1].keys())
+            text = unbroken(composed(text.lower()))
+            counts[bool(ocr)].update(WORD.findall(text))
+            if "-" in text or "‐" in text:
+                counts[bool(ocr)].update(COMPOUND.findall(text))
+        words = [w for w in counts[0].keys() | counts[1].keys() if not w.isdigit()]
         yield pd.DataFrame({"word": words, "n_clean": [counts[0][w] for w in words], "n_ocr": [counts[1][w] for w in words]})
 
 
@@ -129,46 +145,45 @@ def key_of(line: str) -> str:
     return NOT_KEY.sub("", EDGE_NUMBER.sub("", line)).lower()
 
 
-LINE_SCHEMA = "doc_id string, pdf_page int, ocr boolean, what string, line_no int, edge int, key string, other string, value int"
+LINE_SCHEMA = "doc_id string, pdf_page int, what string, line_no int, edge int, id long, key string, other string, value int"
 
 
 def read_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Small rows of the pages: keys of lines that may run, numbers at edges, and words cut at line ends with what follows."""
+    """Small rows of the pages: lines that may run (``other`` is 'ocr' on scanned pages), numbers at edges, and words cut at line ends with what follows."""
     for batch in batches:
         out = []
         for doc, page, ocr, text in zip(batch["doc_id"], batch["pdf_page"], batch["ocr"], batch["text"], strict=True):
             if junk(text):
                 continue
-            lines = [(i + 1, x) for i, x in enumerate(text.split("\n")) if x.strip()]
+            lines = [(i + 1, x) for i, x in enumerate(composed(text).split("\n")) if x and not x.isspace()]
             for k, (no, line) in enumerate(lines):
                 edge = min(k, len(lines) - 1 - k)
-                number = NUMBER.match(line) if edge <= 1 and ocr else None
+                number = NUMBER.match(line) if edge <= 1 and ocr and len(line) < 20 else None
                 if number:
-                    out.append((doc, page, ocr, "number", no, edge, None, None, int(number[1]) if number[1] else roman(number[2])))
+                    out.append((doc, page, "number", no, edge, None, None, None, int(number[1]) if number[1] else roman(number[2])))
                     continue
-                if len(line) <= 120:
+                if len(line) <= RUNNING_CHARS and (edge < EDGE_LINES or ocr and not WITHIN.search(line)):
                     key = key_of(line)
-                    if len(key) >= 8 and (ocr or edge < EDGE_LINES):
-                        out.append((doc, page, ocr, "line", no, edge, key, None, None))
-                cut_ = END.search(line) if ocr else None
-                if cut_:
+                    if len(key) >= 8:
+                        out.append((doc, page, "line", no, edge, xxhash.xxh3_64_intdigest(key) - (1 << 63), key if edge < 2 else None, "ocr" if ocr else "", None))
+                if ocr and line.rstrip()[-1] in HYPHENS + SOFT and (cut_ := END.search(line)):
                     heads = [m[1] for _, x in lines[k + 1 : k + 4] if (m := BEGIN.match(x))]
-                    out.append((doc, page, ocr, "hyphen", no, edge, cut_[1].lower() + cut_[2], " ".join(h.lower() for h in heads), int(line.rstrip()[: -1 - len(cut_[1])][-1:] in ("-", "‐"))))
-        yield pd.DataFrame(out, columns=["doc_id", "pdf_page", "ocr", "what", "line_no", "edge", "key", "other", "value"]).astype({"value": "Int32"})
+                    out.append((doc, page, "hyphen", no, edge, None, cut_[1].lower() + cut_[2], " ".join(h.lower() for h in heads), None))
+        yield pd.DataFrame(out, columns=["doc_id", "pdf_page", "what", "line_no", "edge", "id", "key", "other", "value"]).astype({"value": "Int32", "id": "Int64"})
 
 
 def running_lines(lines: DataFrame, books: DataFrame) -> DataFrame:
     """(doc_id, pdf_page, line_no) of running lines on scanned pages."""
-    keyed = lines.where("what = 'line'").select("doc_id", "key", "pdf_page", "line_no", "edge", "ocr").repartition("doc_id", "key")
-    seen = keyed.groupBy("doc_id", "key", "pdf_page").agg(F.min("edge").alias("edge"), F.min("line_no").alias("line_no"), F.max("ocr").alias("ocr")).where(F.col("edge") < EDGE_LINES)
-    counts = seen.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
-    often = counts.join(books, "doc_id").where((F.col("n") >= LEAST_PAGES) & (F.col("n") >= LEAST_SHARE * F.col("pages"))).select("doc_id", "key")
-    exact = keyed.where("ocr").join(often, ["doc_id", "key"], "left_semi").select("doc_id", "pdf_page", "line_no")
+    keyed = lines.where("what = 'line'").select("doc_id", "id", "pdf_page", "line_no", "edge", "key", (F.col("other") == "ocr").alias("ocr"))
+    seen = keyed.where(F.col("edge") < EDGE_LINES).groupBy("doc_id", "id", "pdf_page").agg(F.max("key").alias("key"))
+    counts = seen.groupBy("doc_id", "id").agg(F.count("*").alias("n"), F.max("key").alias("key")).where(F.col("n") >= LEAST_PAGES)
+    often = cut(counts.join(books, "doc_id").where(F.col("n") >= LEAST_SHARE * F.col("pages")).select("doc_id", "id", "key"))
+    exact = keyed.where("ocr").join(often, ["doc_id", "id"], "left_semi").select("doc_id", "pdf_page", "line_no")
     # A book has at most EDGE_LINES * 2 / LEAST_SHARE such keys, so each edge line meets a bounded number of them.
-    rest = keyed.where(F.col("ocr") & (F.col("edge") < 2)).join(often, ["doc_id", "key"], "left_anti")
-    other = often.withColumnRenamed("key", "_key")
+    rest = keyed.where(F.col("ocr") & F.col("key").isNotNull()).join(often, ["doc_id", "id"], "left_anti")
+    other = often.select("doc_id", F.col("key").alias("_key")).where("_key is not null")
     most = F.greatest(F.lit(1), F.floor(F.length("_key") * NEAR).cast("int"))
-    near = rest.join(other, "doc_id").where((F.abs(F.length("key") - F.length("_key")) <= most) & (F.levenshtein("key", "_key") <= most))
+    near = rest.join(other, "doc_id").where((F.abs(F.length("key") - F.length("_key")) <= most) & (F.levenshtein("key", "_key", 12) >= 0) & (F.levenshtein("key", "_key", 12) <= most))
     return exact.unionByName(near.select("doc_id", "pdf_page", "line_no")).distinct()
 
 
@@ -185,14 +200,15 @@ def page_numbers(lines: DataFrame, pages: DataFrame) -> DataFrame:
 
 def broken_words(lines: DataFrame, words: DataFrame) -> DataFrame:
     """(doc_id, pdf_page, line_no): line ends inside a word."""
-    cuts = lines.where("what = 'hyphen'").select("doc_id", "pdf_page", "line_no", F.expr("left(key, length(key) - 1)").alias("left"), F.right("key", F.lit(1)).alias("mark"), F.split("other", " ").alias("heads"), "value")
+    cuts = lines.where("what = 'hyphen'").select("doc_id", "pdf_page", "line_no", F.expr("left(key, length(key) - 1)").alias("left"), F.right("key", F.lit(1)).alias("mark"), F.split("other", " ").alias("heads"))
     soft = cuts.where(F.col("mark").isin(*SOFT)).select("doc_id", "pdf_page", "line_no")
     hard = cuts.where(F.col("mark").isin(*HYPHENS))
-    heads = hard.select("doc_id", "pdf_page", "line_no", "left", "value", F.posexplode("heads").alias("at", "right"))
+    heads = hard.select("doc_id", "pdf_page", "line_no", "left", F.posexplode("heads").alias("at", "right"))
+    asked = {"joined": F.concat("left", "right"), "compound": F.concat("left", F.lit("-"), "right"), "n_left": F.col("left"), "n_right": F.col("right")}
+    each = heads.select("*", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), word.alias("word")) for name, word in asked.items()])).alias("_q")).select("doc_id", "pdf_page", "line_no", "at", "left", "_q.*")
     known = words.select("word", (F.col("n_clean") + F.col("n_ocr")).alias("_n"))
-    asked = heads
-    for name, word in (("joined", F.concat("left", "right")), ("compound", F.concat("left", F.lit("-"), "right")), ("n_left", F.col("left")), ("n_right", F.col("right"))):
-        asked = asked.withColumn("_w", word).join(known.select(F.col("word").alias("_w"), F.col("_n").alias(name)), "_w", "left").drop("_w").fillna(0, [name])
+    counted = each.join(known, "word", "left").groupBy("doc_id", "pdf_page", "line_no", "at", "left")
+    asked = counted.agg(*[F.coalesce(F.max(F.when(F.col("name") == name, F.col("_n"))), F.lit(0)).alias(name) for name in asked])
     first = F.col("at") == 0
     is_compound = (F.col("compound") > F.col("joined")) | ((F.col("joined") == 0) & first & ((F.col("left") == "al") | ((F.col("n_left") >= 20) & (F.col("n_right") >= 20) & (F.length("left") > 2))))
     judged = asked.groupBy("doc_id", "pdf_page", "line_no").agg(F.max((F.col("joined") > 0) & (F.col("joined") >= F.col("compound"))).alias("_joins"), F.max(first & is_compound).alias("_compound"))
@@ -217,13 +233,16 @@ def misread_reader(known: frozenset[str] | None) -> Callable[[Iterator[pd.DataFr
             for doc, page, text in zip(batch["doc_id"], batch["pdf_page"], batch["text"], strict=True):
                 if junk(text):
                     continue
-                for no, line in enumerate(BROKEN.sub("\n", text.lower()).split("\n"), 1):
-                    words = set(WORD.findall(line))
-                    out += [(doc, page, no, w) for w in (words if known is None else words & known)]
-                for no, line in enumerate(text.split("\n"), 1):
-                    if LATIN.search(line) and in_arabic(line) and fragments(line.split()):
-                        out.append((doc, page, no, None))
-            yield pd.DataFrame(out, columns=["doc_id", "pdf_page", "line_no", "word"])
+                plain = unbroken(composed(text.lower()))
+                if known is None or not known.isdisjoint(WORD.findall(plain)):
+                    for no, line in enumerate(plain.split("\n"), 1):
+                        words = set(WORD.findall(line))
+                        out += [(doc, page, no, w) for w in (words if known is None else words & known)]
+                if ARABIC.search(text):
+                    for no, line in enumerate(text.split("\n"), 1):
+                        if LATIN.search(line) and in_arabic(line) and fragments(line.split()):
+                            out.append((doc, page, no, None))
+        yield pd.DataFrame(out, columns=["doc_id", "pdf_page", "line_no", "word"])
 
     return read
 
@@ -232,7 +251,7 @@ def defects(pages: DataFrame) -> DataFrame:
     """(doc_id, pdf_page, line_no, defect, word, printed) of the scanned pages; the last two only where a word was misread."""
     texts = pages.select("doc_id", "pdf_page", scanned().alias("ocr"), F.col("raw_text").alias("text"), "printed_label").where("doc_id is not null and pdf_page is not null and text is not null and ocr is not null")
     lines = texts.select("doc_id", "pdf_page", "ocr", "text").mapInPandas(read_lines, LINE_SCHEMA)
-    lines = cut(lines.where("what != 'line'")).unionByName(lines.where("what = 'line'"))
+    lines = cut(lines)
     books = texts.groupBy("doc_id").agg(F.approx_count_distinct("pdf_page").alias("pages"))
     words = cut(vocabulary(pages))
     misread = cut(misread_words(words))
@@ -259,7 +278,7 @@ def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 kinds = {d["defect"] for d in by.get(no, [])}
                 if kinds & {"running_line", "page_number"} or not line.strip():
                     continue
-                short, ended = len(line) < 0.8 * longest, bool(regex.search(r"[.!?؟…:]\W*$", line))
+                short, ended = len(line) < 0.8 * longest, bool(re.search(r"[.!?؟…:]\W*$", line))
                 if "misread" in kinds:
                     fixes = {d["word"]: d["printed"] for d in by[no] if d["word"]}
                     line = WORD.sub(lambda m: as_read(m.group(), fixes.get(m.group().lower())), line)
