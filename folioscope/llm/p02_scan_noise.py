@@ -59,7 +59,7 @@ MARKS = re.compile("[\u0300-\u036f\u0653-\u0655]")
 
 
 def composed(text: str) -> str:
-    return unicodedata.normalize("NFC", text) if MARKS.search(text) else text
+    return text if text.isascii() or not MARKS.search(text) else unicodedata.normalize("NFC", text)
 
 
 def junk(text: str) -> bool:
@@ -69,7 +69,10 @@ def junk(text: str) -> bool:
     if not tokens:
         return False
     n = len(tokens)
-    return chars > 30 * n or sum(len(t) <= 2 for t in tokens) > 0.6 * n or len(TRIPLED.findall(text)) > 0.3 * n or len(ASCII_MARKS.findall(text)) > 0.35 * chars
+    if chars > 30 * n or sum(len(t) <= 2 for t in tokens) > 0.6 * n or len(ASCII_MARKS.findall(text)) > 0.35 * chars:
+        return True
+    # Where over 0.3 of the tokens have three letters of a kind, their mean length is well above that of prose.
+    return chars > 5 * n and len(TRIPLED.findall(text)) > 0.3 * n
 
 
 def roman(word: str) -> int:
@@ -128,15 +131,10 @@ def misread_words(words: DataFrame) -> DataFrame:
     learned = kinds.where((F.col("_o") >= 3) & (F.col("_o") >= 3 * F.col("_c"))).select("char", "to")
     single = near.where("ocr").join(learned, ["char", "to"]).select("word", "printed", "total")
     # Groups: the word as read, with every occurrence of a group replaced in turn.
-    tries = []
-    scans = odd.where("ocr")
-    for read, printed in GROUPS:
-        at = F.explode(F.sequence(F.lit(1), F.length("word")))
-        rows = scans.where(F.contains("word", F.lit(read))).withColumn("_at", at).where(F.substr("word", F.col("_at"), F.lit(len(read))) == read)
-        tries.append(rows.select("word", "n", F.concat(F.substr("word", F.lit(1), F.col("_at") - 1), F.lit(printed), F.substr("word", F.col("_at") + len(read))).alias("printed")))
-    grouped = tries[0]
-    for rows in tries[1:]:
-        grouped = grouped.unionByName(rows)
+    groups = F.explode(F.array(*[F.struct(F.lit(r).alias("read"), F.lit(p).alias("as_printed")) for r, p in GROUPS])).alias("_g")
+    tries = odd.where("ocr").select("word", "n", groups).select("word", "n", "_g.*").where(F.contains("word", F.col("read")))
+    tries = tries.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("word")))).where(F.substr("word", F.col("_at"), F.length("read")) == F.col("read"))
+    grouped = tries.select("word", "n", F.concat(F.substr("word", F.lit(1), F.col("_at") - 1), F.col("as_printed"), F.substr("word", F.col("_at") + F.length("read"))).alias("printed"))
     grouped = grouped.join(known.withColumnRenamed("word", "printed"), "printed").where(F.col("total") >= RATIO * F.col("n")).select("word", "printed", "total")
     return single.unionByName(grouped).groupBy("word").agg(F.max_by("printed", F.struct("total", "printed")).alias("printed"))
 
@@ -183,7 +181,8 @@ def running_lines(lines: DataFrame, books: DataFrame) -> DataFrame:
     rest = keyed.where(F.col("ocr") & F.col("key").isNotNull()).join(often, ["doc_id", "id"], "left_anti")
     other = often.select("doc_id", F.col("key").alias("_key")).where("_key is not null")
     most = F.greatest(F.lit(1), F.floor(F.length("_key") * NEAR).cast("int"))
-    near = rest.join(other, "doc_id").where((F.abs(F.length("key") - F.length("_key")) <= most) & (F.levenshtein("key", "_key", 12) >= 0) & (F.levenshtein("key", "_key", 12) <= most))
+    near = rest.join(other, "doc_id").where(F.abs(F.length("key") - F.length("_key")) <= most)
+    near = near.withColumn("_far", F.levenshtein("key", "_key", 12)).where((F.col("_far") >= 0) & (F.col("_far") <= most))
     return exact.unionByName(near.select("doc_id", "pdf_page", "line_no")).distinct()
 
 
@@ -234,10 +233,9 @@ def misread_reader(known: frozenset[str] | None) -> Callable[[Iterator[pd.DataFr
                 if junk(text):
                     continue
                 plain = unbroken(composed(text.lower()))
-                if known is None or not known.isdisjoint(WORD.findall(plain)):
-                    for no, line in enumerate(plain.split("\n"), 1):
-                        words = set(WORD.findall(line))
-                        out += [(doc, page, no, w) for w in (words if known is None else words & known)]
+                for no, line in enumerate(plain.split("\n"), 1):
+                    words = WORD.findall(line)
+                    out += [(doc, page, no, w) for w in (set(words) if known is None else known.intersection(words))]
                 if ARABIC.search(text):
                     for no, line in enumerate(text.split("\n"), 1):
                         if LATIN.search(line) and in_arabic(line) and fragments(line.split()):
