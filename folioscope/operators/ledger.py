@@ -18,14 +18,20 @@ def cost(tokens: Column, price: float = PRICE_PER_MILLION) -> Column:
     return tokens / 1e6 * price
 
 
+def money(value: Column) -> Column:
+    """Exact sums: no order of addition changes the last digit."""
+    return value.cast("decimal(18,8)")
+
+
 def totals(log: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Committed (reported cost, else estimate), reserved (reserves less releases) and tokens; 0 where empty. Repeated rows count once."""
-    of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0.0))
+    of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, money(value))), money(F.lit(0)))
     committed = of("commit", F.coalesce("cost_reported_usd", "cost_est_usd"))
     reserved = of("reserve", F.col("cost_est_usd")) - of("release", F.col("cost_est_usd"))
     tokens = F.coalesce(F.sum(F.when(F.col("kind") == "commit", F.coalesce("tokens_reported", "tokens_est"))), F.lit(0))
     rows = log.distinct()
-    out = [F.round(committed, 6).alias("committed_usd"), F.round(reserved, 6).alias("reserved_usd"), tokens.alias("tokens")]
+    usd = lambda x, name: F.round(x, 6).cast("double").alias(name)
+    out = [usd(committed, "committed_usd"), usd(reserved, "reserved_usd"), tokens.alias("tokens")]
     return rows.groupBy(*by).agg(*out) if by else rows.agg(*out)
 
 

@@ -115,8 +115,9 @@ CHUNKS = chunked("select distinct doc_id, pdf_page, raw_text from pages where ra
 BUILT = chunked(f"select doc_id, pdf_page, engine, raw_text from (select distinct doc_id, pdf_page, engine, raw_text from pages) where {page_reason('raw_text')} = ''", "doc_id, pdf_page, engine", C.CAP)
 DERIVED = "case when engine like 'ocr%' then 'ocr' else 'extracted' end"
 PID = "doc_id || ':p' || lpad(pdf_page::varchar, greatest(3, length(pdf_page::varchar))::int, '0') || ':' || lpad(ordinal::varchar, greatest(2, length(ordinal::varchar))::int, '0')"
-TOTALS = """round(coalesce(sum(case when kind = 'commit' then coalesce(cost_reported_usd, cost_est_usd) end), 0), 6) as committed_usd,
-round(coalesce(sum(case when kind = 'reserve' then cost_est_usd end), 0) - coalesce(sum(case when kind = 'release' then cost_est_usd end), 0), 6) as reserved_usd,
+USD = "coalesce(sum(case when kind = '{0}' then ({1})::decimal(18,8) end), 0::decimal(18,8))"
+TOTALS = f"""round({USD.format('commit', 'coalesce(cost_reported_usd, cost_est_usd)')}, 6)::double as committed_usd,
+round({USD.format('reserve', 'cost_est_usd')} - {USD.format('release', 'cost_est_usd')}, 6)::double as reserved_usd,
 coalesce(sum(case when kind = 'commit' then coalesce(tokens_reported, tokens_est) end), 0)::bigint as tokens from (select distinct * from usage_log)"""
 
 
@@ -172,7 +173,7 @@ def oracle_sql() -> dict[str, str]:
         "cache_validity": "select distinct stem, pdf_page, mean_conf, words from ocr_cache o where langs = 'ara+eng' and clean = 1 and exists (select 1 from doc_catalog c where c.doc_id = o.stem and substring(c.checksum, 1, 12) = o.checksum12)",
         "dry_run_estimate": "select doc_id, count(*) as chunks, sum(tokens)::bigint as tokens, round(sum(tokens) / 1e6 * 0.02, 9) as usd, round(sum(tokens) / 1e6 * 0.02 * 1.5, 9) as worst_usd from (select distinct pid, doc_id, tokens from passages) group by all",
         "batch_packing": "with recursive p as materialized (select doc_id, tokens, row_number() over (partition by doc_id order by pdf_page, ordinal, pid) as i from (select distinct doc_id, pdf_page, ordinal, pid, tokens from passages)), w as (select doc_id, i, 0 as batch, 1 as n, tokens::bigint as total, tokens from p where i = 1 union all select p.doc_id, p.i, case when w.n >= 20 or w.total + p.tokens > 2000 then w.batch + 1 else w.batch end, case when w.n >= 20 or w.total + p.tokens > 2000 then 1 else w.n + 1 end, case when w.n >= 20 or w.total + p.tokens > 2000 then p.tokens else w.total + p.tokens end, p.tokens from w join p on p.doc_id = w.doc_id and p.i = w.i + 1) select doc_id, batch::int as batch, count(*) as items, sum(tokens)::bigint as tokens from w group by doc_id, batch",
-        "budget_admission": "with d as (select ts::timestamp::date as day, round(sum(cost_est_usd), 6) as cost from (select distinct id, ts, kind, cost_est_usd from usage_log) where kind = 'commit' group by all), s as (select *, round(coalesce(sum(cost) over (order by day rows between unbounded preceding and 1 preceding), 0), 9) as b, (select sum(cost) / 2 from d) as cap from d) select day, cost, round(b, 6) as spent_before, max(case when b + 1.5 * cost <= cap then 0 else 1 end) over (order by day) = 0 as admitted from s",
+        "budget_admission": "with d as (select ts::timestamp::date as day, round(sum(cost_est_usd::decimal(18,8)), 6)::double as cost from (select distinct id, ts, kind, cost_est_usd from usage_log) where kind = 'commit' group by all), s as (select *, round(coalesce(sum(cost) over (order by day rows between unbounded preceding and 1 preceding), 0), 9) as b, (select sum(cost) / 2 from d) as cap from d) select day, cost, round(b, 6) as spent_before, max(case when b + 1.5 * cost <= cap then 0 else 1 end) over (order by day) = 0 as admitted from s",
         "ledger_totals": f"select {TOTALS}",
         "ledger_by_note": f"select note, {TOTALS} group by note",
         "open_reserves": "select ts::timestamp::date as day, count(*) filter (kind = 'reserve') as reserves, count(*) filter (kind = 'release') as releases, count(*) filter (kind = 'commit') as commits, count(*) filter (kind = 'reserve') - count(*) filter (kind = 'release') as open from (select distinct * from usage_log) group by day",

@@ -400,7 +400,7 @@ def batch_packing(spark, sf_dir):
 @query
 def budget_admission(spark, sf_dir):
     """Days of commits as batches against a cap of half of all spend."""
-    days = once(spark, sf_dir, "usage_log", "id", "ts", "kind", "cost_est_usd").where("kind = 'commit'").groupBy(F.to_date("ts").alias("day")).agg(F.round(F.sum("cost_est_usd"), 6).alias("cost"))
+    days = once(spark, sf_dir, "usage_log", "id", "ts", "kind", "cost_est_usd").where("kind = 'commit'").groupBy(F.to_date("ts").alias("day")).agg(F.round(F.sum(ledger.money(F.col("cost_est_usd"))), 6).cast("double").alias("cost"))
     cap = days.agg(F.sum("cost")).collect()[0][0] or 0.0
     return ledger.admitted(days, ["day"], cap / 2).select("day", "cost", F.round("spent_before", 6).alias("spent_before"), "admitted")
 
