@@ -8,7 +8,7 @@ from .p10_shared_spans import LEAST
 
 
 def bare(x: str) -> str:
-    return f"lower(upper(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')))"
+    return f"replace(lower(upper(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))), 'ß', 'ss')"
 
 
 PARTS = "list_filter(regexp_split_to_array(regexp_replace(t, '[,،]([^,،:：=]{1,40}[:：=])', chr(30) || '\\1', 'g'), '[;؛；•·●▪|¦｜\\n\\r\\t\\x{1e}]|\\s[/–—-]\\s'), lambda p: length(regexp_replace(p, '[^\\p{L}\\p{N}]+', '', 'g')) > 0)"

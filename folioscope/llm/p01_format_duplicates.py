@@ -26,8 +26,8 @@ LABEL_MARKS = r"[:：=]"
 
 
 def letters_and_digits(text: Column) -> Column:
-    """Letters and digits only, without regard to case. Upper case first, so that letters without a single capital (ß, ligatures) agree with their capitals."""
-    return F.lower(F.upper(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")))
+    """Letters and digits only, without regard to case. Upper case first, so that letters with one capital between them agree; ß is SS in capitals."""
+    return F.replace(F.lower(F.upper(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))), F.lit("ß"), F.lit("ss"))
 
 
 def record_fields(text: Column) -> Column:
