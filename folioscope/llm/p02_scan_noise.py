@@ -35,6 +35,8 @@ NEAR = 0.2
 #: A misread word's pattern must be so much more frequent, and stand so often on pages that weren't scanned.
 RATIO, LEAST_CLEAN = 10, 3
 SET_LIMIT = 200_000
+#: Longer runs of letters are no words that one confusion could explain.
+LONGEST_WORD = 40
 # Groups of Latin letters that scanning takes for one another, as read and as printed.
 GROUPS = [("rn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("nn", "m"), ("iii", "m"), ("tl", "d"), ("fi", "h"), ("m", "rn"), ("d", "cl"), ("u", "ii"), ("w", "vv"), ("h", "li")]
 # Marks that part a word at a line's end; the first two may also belong to a compound.
@@ -99,7 +101,8 @@ def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if "-" in text or "‐" in text:
                 counts[bool(ocr)].update(COMPOUND.findall(text))
         words = [w for w in counts[0].keys() | counts[1].keys() if not w.isdigit()]
-        yield pd.DataFrame({"word": words, "n_clean": [counts[0][w] for w in words], "n_ocr": [counts[1][w] for w in words]})
+        if words:
+            yield pd.DataFrame({"word": words, "n_clean": [counts[0][w] for w in words], "n_ocr": [counts[1][w] for w in words]})
 
 
 def vocabulary(pages: DataFrame) -> DataFrame:
@@ -118,7 +121,7 @@ def with_gap(words: DataFrame, keep: list[str]) -> DataFrame:
 
 def misread_words(words: DataFrame) -> DataFrame:
     """(word, printed): words of scanned pages with the word that was printed."""
-    lettered = words.where((F.length("word") >= 3) & ~F.col("word").rlike("[-‐]") & F.col("word").rlike(r"\p{L}.*\p{L}"))
+    lettered = words.where(F.length("word").between(3, LONGEST_WORD) & ~F.col("word").rlike("[-‐]") & F.col("word").rlike(r"\p{L}.*\p{L}"))
     only = lambda a, b: (F.col(a) > 0) & (F.col(a) >= 20 * F.col(b))
     odd = lettered.where(only("n_ocr", "n_clean")).select("word", F.col("n_ocr").alias("n"), F.lit(True).alias("ocr"))
     # Words that only the other pages have show how often two sound words differ in that way.
@@ -167,7 +170,8 @@ def read_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if ocr and line.rstrip()[-1] in HYPHENS + SOFT and (cut_ := END.search(line)):
                     heads = [m[1] for _, x in lines[k + 1 : k + 4] if (m := BEGIN.match(x))]
                     out.append((doc, page, "hyphen", no, edge, None, cut_[1].lower() + cut_[2], " ".join(h.lower() for h in heads), None))
-        yield pd.DataFrame(out, columns=["doc_id", "pdf_page", "what", "line_no", "edge", "id", "key", "other", "value"]).astype({"value": "Int32", "id": "Int64"})
+        if out:
+            yield pd.DataFrame(out, columns=["doc_id", "pdf_page", "what", "line_no", "edge", "id", "key", "other", "value"]).astype({"value": "Int32", "id": "Int64"})
 
 
 def running_lines(lines: DataFrame, books: DataFrame) -> DataFrame:
@@ -240,7 +244,8 @@ def misread_reader(known: frozenset[str] | None) -> Callable[[Iterator[pd.DataFr
                     for no, line in enumerate(text.split("\n"), 1):
                         if LATIN.search(line) and in_arabic(line) and fragments(line.split()):
                             out.append((doc, page, no, None))
-            yield pd.DataFrame(out, columns=["doc_id", "pdf_page", "line_no", "word"])
+            if out:  # Arrow takes no empty column of strings
+                yield pd.DataFrame(out, columns=["doc_id", "pdf_page", "line_no", "word"])
 
     return read
 
