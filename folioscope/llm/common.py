@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one group that one join task pairs with the group; larger groups are spread over several tasks.
 GROUP_SLICE = 4096
+#: Narrow rows of a side that may be broadcast: a few MB.
+SMALL_ROWS = 100_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +29,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` to be broadcast if it has at most so many (narrow) rows, counted first; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def text_key(text: Column) -> Column:
     """128-bit key of a text, to compare and shuffle long texts by."""
     return F.unhex(F.md5(text.cast("binary")))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import GROUP_SLICE, cut, text_key
+from .common import GROUP_SLICE, SMALL_ROWS, cut, small, text_key
 
 LEAST = 200
 BLOCK = 120
@@ -102,15 +102,17 @@ def factors(documents: DataFrame, classes: DataFrame, id_col: str = "doc_id", te
     """Longest common spans between classes of documents: (class_a, class_b, start_a, start_b, length), class_a < class_b."""
     long = documents.select(F.col(id_col).alias("class_id"), F.col(text).alias("text")).where((F.length("text") >= LEAST) & F.col("class_id").isNotNull())
     copies = classes.where("doc_id != class_id").select(F.col("doc_id").alias("class_id"))
-    texts = long.join(copies, "class_id", "left_anti")
+    texts = long.join(small(copies), "class_id", "left_anti")
     # One exchange serves both readers of the index, since both read all its columns.
     index = texts.mapInPandas(entries, "block long, class_id long, place int").repartition("block")
     shared = index.groupBy("block").agg(F.count("*").alias("n"), F.min("class_id").alias("_a"), F.max("class_id").alias("_b"), F.max("place").alias("_last"))
     shared = shared.where("_a != _b and _last >= 0").select("block", "n")
-    hits = index.join(shared, "block")
+    hits = cut(index.join(shared, "block"))
     # Texts of the documents with shared entries give the characters around each; the list of a document is bounded by its text.
     places = hits.groupBy("class_id").agg(F.collect_list(F.struct("block", "place", "n")).alias("_hits"))
-    spread = long.join(places, "class_id").select("class_id", "text", F.explode("_hits").alias("_h")).select("class_id", "text", "_h.*")
+    # Few hits go to the texts, many meet them in a shuffled join.
+    few = hits.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    spread = long.join(F.broadcast(places) if few else places, "class_id").select("class_id", "text", F.explode("_hits").alias("_h")).select("class_id", "text", "_h.*")
     before = F.reverse(F.substr("text", F.greatest(F.col("place") - ROOM, F.lit(0)) + 1, F.least("place", F.lit(ROOM))))
     blocks = cut(spread.select("class_id", "block", "place", "n", before.alias("before"), F.substr("text", F.col("place") + BLOCK + 1, F.lit(ROOM)).alias("after")))
     step = ROOM // WAYS
