@@ -41,11 +41,11 @@ LONGEST_WORD = 40
 GROUPS = [("rn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("nn", "m"), ("iii", "m"), ("tl", "d"), ("fi", "h"), ("m", "rn"), ("d", "cl"), ("u", "ii"), ("w", "vv"), ("h", "li")]
 # Marks that part a word at a line's end; the first two may also belong to a compound.
 HYPHENS, SOFT = "-‐", "¬\xad‑"
+MARKS_AT_END = {*HYPHENS, *SOFT}
 
-WORD = re.compile(r"[^\W_]+")
+WORD = re.compile(r"\w+")
 COMPOUND = re.compile(r"(?<!\w)[^\W\d_]+[-‐][^\W\d_]+")
 BREAK = re.compile(r"[-‐‑¬\xad][ \t]*\n")
-BROKEN = re.compile(r"[^\W\d_]+[-‐‑¬\xad][ \t]*\n[ \t]*[^\W\d_]*")
 END = re.compile(r"([^\W\d_]+)([-‐‑¬\xad])\s*$")
 BEGIN = re.compile(r"\s*([^\W\d_]+)")
 NUMBER = re.compile(r"[\W_]*(?:(\d{1,4})|([ivxlcIVXLC]{1,7}))[\W_]*$")
@@ -84,7 +84,15 @@ def roman(word: str) -> int:
 
 def unbroken(text: str) -> str:
     """The text without the words that its line ends break."""
-    return BROKEN.sub("\n", text) if BREAK.search(text) else text
+    if not BREAK.search(text):
+        return text
+    lines = text.split("\n")
+    for i in range(len(lines) - 1):
+        if lines[i].rstrip(" \t")[-1:] in MARKS_AT_END and (cut_ := END.search(lines[i])):
+            lines[i] = lines[i][: cut_.start()]
+            if head := BEGIN.match(lines[i + 1]):
+                lines[i + 1] = lines[i + 1][head.end() :]
+    return "\n".join(lines)
 
 
 def scanned() -> Column:
@@ -99,7 +107,7 @@ def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text = unbroken(composed(text.lower()))
             counts[bool(ocr)].update(WORD.findall(text))
             if "-" in text or "‐" in text:
-                counts[bool(ocr)].update(COMPOUND.findall(text))
+                counts[bool(ocr)].update(COMPOUND.findall(" ".join(t for t in text.split() if "-" in t or "‐" in t)))
         words = [w for w in counts[0].keys() | counts[1].keys() if not w.isdigit()]
         if words:
             yield pd.DataFrame({"word": words, "n_clean": [counts[0][w] for w in words], "n_ocr": [counts[1][w] for w in words]})
@@ -167,7 +175,7 @@ def read_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     key = key_of(line)
                     if len(key) >= 8:
                         out.append((doc, page, "line", no, edge, xxhash.xxh3_64_intdigest(key) - (1 << 63), key if edge < 2 else None, "ocr" if ocr else "", None))
-                if ocr and line.rstrip()[-1] in HYPHENS + SOFT and (cut_ := END.search(line)):
+                if ocr and line.rstrip()[-1] in MARKS_AT_END and (cut_ := END.search(line)):
                     heads = [m[1] for _, x in lines[k + 1 : k + 4] if (m := BEGIN.match(x))]
                     out.append((doc, page, "hyphen", no, edge, None, cut_[1].lower() + cut_[2], " ".join(h.lower() for h in heads), None))
         if out:
@@ -255,7 +263,7 @@ def defects(pages: DataFrame) -> DataFrame:
     texts = pages.select("doc_id", "pdf_page", scanned().alias("ocr"), F.col("raw_text").alias("text"), "printed_label").where("doc_id is not null and pdf_page is not null and text is not null and ocr is not null")
     lines = texts.select("doc_id", "pdf_page", "ocr", "text").mapInPandas(read_lines, LINE_SCHEMA)
     lines = cut(lines)
-    books = texts.groupBy("doc_id").agg(F.approx_count_distinct("pdf_page").alias("pages"))
+    books = pages.where("doc_id is not null").groupBy("doc_id").agg(F.approx_count_distinct("pdf_page").alias("pages"))
     words = cut(vocabulary(pages))
     misread = cut(misread_words(words))
     known = None
