@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import search_tokens
+from .common import small
 
 K1, B = 1.2, 0.75
 FLOOR = 1e-6
@@ -44,25 +45,24 @@ def phrases(query: Column) -> Column:
 
 
 def query_phrases(queries: DataFrame, qid: str, text: str) -> DataFrame:
-    """(qid, phrase: tokens of one quoted term, weight): repeated phrases weigh more; phrases without token match nothing and are gone."""
-    each = queries.select(F.col(qid).alias("qid"), F.explode(phrases(F.col(text))).alias("_t")).select("qid", search_tokens(F.col("_t")).alias("phrase"))
-    return each.where(F.size("phrase") > 0).groupBy("qid", "phrase").agg(F.count("*").alias("weight"))
+    """(qid, phrase, weight): one quoted term's tokens, parted by spaces. Repeated phrases weigh more; phrases without token match nothing and are gone."""
+    each = queries.select(F.col(qid).alias("qid"), F.explode(phrases(F.col(text))).alias("_t")).select("qid", F.array_join(search_tokens(F.col("_t")), " ").alias("phrase"))
+    return each.where("phrase != ''").groupBy("qid", "phrase").agg(F.count("*").alias("weight"))
 
 
 def phrase_hits(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(phrase, pid, dl, tf) for distinct phrases: adjacent tokens, found through the postings of the phrase's first token."""
-    distinct = wanted.select("phrase").distinct()
-    first = distinct.select("phrase", F.element_at("phrase", 1).alias("term"), F.size("phrase").alias("len"))
-    hits = postings(tokens).join(first, "term")
-    single = hits.where("len = 1").select("phrase", "pid", "dl", "tf")
-    longer = hits.where("len > 1").select("phrase", "pid", "dl", "positions", "len").join(tokens.select("pid", "tokens"), "pid")
-    count = F.size(F.filter("positions", lambda p: F.slice(F.col("tokens"), p + 1, F.col("len")) == F.col("phrase")))
-    return single.unionByName(longer.select("phrase", "pid", "dl", count.cast("long").alias("tf")).where("tf > 0"))
+    """(phrase, pid, dl, tf): adjacent tokens. Only tokens that begin a phrase leave the scan, with as many tokens after them as the longest phrase has."""
+    first = wanted.select("phrase").distinct().withColumn("_words", F.split("phrase", " "))
+    first = first.select("phrase", "_words", F.element_at("_words", 1).alias("term"), F.size("_words").alias("_len"))
+    longest = first.agg(F.max("_len")).collect()[0][0] or 1
+    each = tokens.select("pid", "dl", "tokens", F.posexplode("tokens").alias("pos", "term")).select("pid", "dl", "term", F.slice("tokens", F.col("pos") + 1, F.lit(longest)).alias("_ahead"))
+    hits = each.join(small(first), "term").where(F.slice("_ahead", F.lit(1), F.col("_len")) == F.col("_words"))
+    return hits.groupBy("phrase", "pid", "dl").agg(F.count("*").alias("tf"))
 
 
 def bm25(passages: DataFrame, queries: DataFrame, pid: str, text: str, qid: str, query: str) -> DataFrame:
     """(qid, pid, score): negative, the best least; rounded to 9 decimals, since the order of addition isn't fixed."""
-    tokens = tokenized(passages, pid, text)
+    tokens = tokenized(passages, pid, text).persist()
     wanted = query_phrases(queries, qid, query)
     hits = phrase_hits(tokens, wanted)
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
@@ -70,8 +70,9 @@ def bm25(passages: DataFrame, queries: DataFrame, pid: str, text: str, qid: str,
     stats = F.broadcast(corpus_stats(tokens))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = df.join(stats).select("phrase", "avgdl", F.when(idf <= 0, FLOOR).otherwise(idf).alias("idf"))
-    part = F.col("weight") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = wanted.join(hits.join(weighed, "phrase"), "phrase").groupBy("qid", "pid").agg(F.sum(part).alias("s"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    parts = hits.join(weighed, "phrase").select("phrase", "pid", part.alias("part"))
+    scored = parts.join(small(wanted), "phrase").groupBy("qid", "pid").agg(F.sum(F.col("weight") * F.col("part")).alias("s"))
     return scored.select("qid", "pid", F.round(-F.col("s"), 9).alias("score"))
 
 

@@ -99,7 +99,7 @@ def chunked(source: str, keys: str, cap: int) -> str:
     """Greedy packing as a recursive walk over each page's lines; for texts without a line above the cap."""
     return f"""
 src as ({source}),
-un as materialized (select {keys}, i, u, {estimate('u')} as n from (select {keys}, unnest(list_filter(list_transform(regexp_split_to_array(raw_text, '\\r\\n|\\n|\\r'), lambda x: regexp_replace(x, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), lambda x: x <> '')) as u, generate_subscripts(list_filter(list_transform(regexp_split_to_array(raw_text, '\\r\\n|\\n|\\r'), lambda x: regexp_replace(x, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), lambda x: x <> ''), 1) as i from src)),
+un as materialized (select {keys}, i, u, {estimate('u')} as n from (select {keys}, unnest(list_filter(list_transform(regexp_split_to_array(raw_text, '\\r\\n|[\\n\\v\\f\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: regexp_replace(x, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), lambda x: x <> '')) as u, generate_subscripts(list_filter(list_transform(regexp_split_to_array(raw_text, '\\r\\n|[\\n\\v\\f\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: regexp_replace(x, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), lambda x: x <> ''), 1) as i from src)),
 wk as (
   select {keys}, i, u as cur, n as cn, 0 as ordinal from un where i = 1
   union all
@@ -154,10 +154,10 @@ def oracle_sql() -> dict[str, str]:
         "tokenize": f"with {TOKENS} select pid, len(t)::int as dl, len(list_distinct(t))::int as terms from tk",
         "doc_frequency": f"with {TOKENS} select term, count(*) as df from (select pid, unnest(list_distinct(t)) as term from tk) group by all",
         "corpus_stats": f"with {TOKENS} select count(*) as n_docs, round(avg(len(t)), 6) as avgdl from tk",
-        "bm25_topk": f"with {KEYWORD} select qid, pid as doc_id, round(score, 6) as score, rank::int as rank from kw",
+        "bm25_topk": f"with {KEYWORD} select qid, pid as doc_id, score, rank::int as rank from kw",
         "phrase_match": f"with {TOKENS}, r as (select distinct lower(region) as qid from passages), ph as (select qid, {tokens(lines('qid'))} as phrase from r), po as materialized (select pid, t, unnest(t) as term, generate_subscripts(t, 1) as i from tk) select qid, pid, count(*) as occurrences from ph join po on po.term = phrase[1] where len(phrase) > 0 and t[i : i + len(phrase) - 1] = phrase group by all",
         "alias_expand": f"with {CATALOG}, t as (select doc_id, unnest(string_split(topics, ', ')) as topic from ct where topics is not null), p as (select distinct {lines('a.topic')} as key, b.topic as term from t a join t b using (doc_id) where a.topic <> b.topic), g as (select key, array_to_string(list(term order by term), ',') as terms from p group by all), q as (select doc_id as qid, {lines(chr(39) + chr(39) + ' || concat_ws(' + chr(39) + ' ' + chr(39) + ', title, topic)')} as query from documents) select qid, key, terms from q join g on case when contains(key, ' ') then contains(query, key) else list_contains(string_split(query, ' '), key) end",
-        "vector_topk": f"with {VECTOR} select qid, pid as vec_id, round(sim, 6) as sim, rank::int as rank from ve",
+        "vector_topk": f"with {VECTOR} select qid, pid as vec_id, sim, rank::int as rank from ve",
         "rrf_fuse": f"with {FUSED} select qid, pid as doc_id, round(score, 9) as score, fts_rank::int as fts_rank, vec_rank::int as vec_rank, rank::int as rank from fu",
         "post_filter": f"with {FUSED} select qid, pid, rank::int as rank from hi where lang = 'ar'",
         "dedup_alt_provenance": f"with {FUSED}, {FOLDED} select qid, pid, rank::int as rank, coalesce(alternates, '') as alternates from fo where n = 1",

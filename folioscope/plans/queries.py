@@ -247,13 +247,13 @@ def corpus_stats(spark, sf_dir):
 
 @query
 def bm25_topk(spark, sf_dir):
-    return keyword_pool(spark, sf_dir).select("qid", F.col("pid").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+    return keyword_pool(spark, sf_dir).select("qid", F.col("pid").alias("doc_id"), "score", "rank")
 
 
 @query
 def phrase_match(spark, sf_dir):
     """Names of regions as quoted phrases over the passages: adjacent tokens only."""
-    titles = once(spark, sf_dir, "passages", "region").select(F.lower("region").alias("qid")).distinct().select("qid", index.search_tokens(T.normalize_lines(F.col("qid"))).alias("phrase")).where("size(phrase) > 0")
+    titles = once(spark, sf_dir, "passages", "region").select(F.lower("region").alias("qid")).distinct().select("qid", F.array_join(index.search_tokens(T.normalize_lines(F.col("qid"))), " ").alias("phrase")).where("phrase != ''")
     tokens = index.tokenized(once(spark, sf_dir, "passages", "pid", "text_search"), "pid", "text_search")
     return titles.join(index.phrase_hits(tokens, titles), "phrase").select("qid", "pid", F.col("tf").cast("long").alias("occurrences"))
 
@@ -270,7 +270,7 @@ def alias_expand(spark, sf_dir):
 
 @query
 def vector_topk(spark, sf_dir):
-    return vector_pool(spark, sf_dir).select("qid", F.col("pid").alias("vec_id"), F.round("sim", 6).alias("sim"), "rank")
+    return vector_pool(spark, sf_dir).select("qid", F.col("pid").alias("vec_id"), "sim", "rank")
 
 
 def fused(spark, sf_dir):
