@@ -30,5 +30,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"with {RECORDS}, e as (select pid, 'p' || plain as key from k union all select pid, 'r' || record from k where record is not null) select distinct a.pid as pid_a, b.pid as pid_b from e a join e b on a.key = b.key and a.pid < b.pid",
         "p1_records": f"with {RECORDS} select min(pid) as record_id, count(*) as copies, count(distinct t) as spellings from k group by coalesce(record, plain)",
         "p5_found": f"with {LINES} select distinct doc_id, pdf_page, line_no::int as line_no from k join c using (doc_id, key)",
+        "p5_clean_pages": f"with {LINES}, f as (select doc_id, pdf_page, list(distinct line_no) as gone from k join c using (doc_id, key) group by all) select p.doc_id, p.pdf_page, case when gone is null then raw_text else array_to_string(list_filter(string_split(raw_text, chr(10)), lambda x, i: not list_contains(gone, i)), chr(10)) end as clean_text, coalesce(len(gone), 0)::int as removed_lines from p left join f on p.doc_id = f.doc_id and p.pdf_page = f.pdf_page",
+        "p5_source_lines": f"with d as (select source, text, (min(created_at) at time zone 'UTC')::date as day from documents where text is not null group by all), l as (select source, text, day, unnest(string_split(text, chr(10))) as line from d), k as (select source, text, day, line, {bare(LINE)} as key from l) select source, min(line) as line, count(distinct text)::int as clusters, count(distinct day)::int as dates from k where length(key) >= {MIN_CHARS} group by source, key having count(distinct text) >= {MIN_CLUSTERS} and count(distinct day) >= 2",
         "p10_found": f"with d as (select distinct doc_id, text from documents where length(text) >= {LEAST}), w as (select distinct doc_id, md5(substring(text, i::int, {LEAST})) as h from (select doc_id, text, unnest(range(1, length(text) - {LEAST} + 2)) as i from d)), s as (select h from w group by h having count(*) > 1), x as materialized (select w.* from w join s using (h)) select distinct a.doc_id as doc_a, b.doc_id as doc_b from x a join x b on a.h = b.h and a.doc_id < b.doc_id",
     }
