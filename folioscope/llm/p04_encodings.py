@@ -13,7 +13,8 @@ count once; without any clean page nothing is accepted.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -26,8 +27,6 @@ from .common import cut
 from .p02_scan_noise import junk
 
 ALPHABET = 1024
-#: Clean lines held out, at most, to validate the margin.
-HELD_OUT = 1000
 ROOM = 1.0
 LEAST_MARGIN = 6.0
 RARE = -9.0
@@ -304,23 +303,29 @@ def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": (pairs >> 16).astype(np.int32), "b": (pairs & 0xFFFF).astype(np.int32), "n": n})
 
 
-def held_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        lines = [x for text in batch["text"] for x in clean_lines(text) if not x.isascii() and held_out(x)]
-        if lines:  # Arrow takes no empty column of strings
-            yield pd.DataFrame({"line": lines})
+def held_gains(model: Model) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """What any chain gains on the clean lines held out, and how many lines gain it."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held = [x for text in batch["text"] if not text.isascii() for x in text.split("\n") if len(x) > 1 and not x.isascii() and held_out(x) and not unclean().search(x)]
+            # Rounded, so that the number of different gains doesn't grow with the lines.
+            counts = Counter(round(best_repair(x, model)[0], 3) for x in held)
+            yield pd.DataFrame({"gain": list(counts.keys()), "n": list(counts.values())}).astype({"gain": "float64", "n": "int64"})
+
+    return work
 
 
 def train(pages: DataFrame, text: str = "raw_text") -> Model:
-    """Count all clean lines but for a twentieth (by hash), of which at most HELD_OUT validate the margin."""
+    """Count all clean lines but for a twentieth (by hash), which validates the margin."""
     texts = pages.select(F.col(text).alias("text")).where("text is not null")
     pairs = cut(texts.mapInPandas(count_pairs, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
     alphabet = pairs.groupBy("a").agg(F.sum("n").alias("_n")).orderBy(F.desc("_n"), "a").limit(ALPHABET - 1).select("a")
     model = Model(pairs.join(F.broadcast(alphabet), "a").join(F.broadcast(alphabet.select(F.col("a").alias("b"))), "b").select("a", "b", "n").toPandas())
-    accented = texts.mapInPandas(held_lines, "line string").limit(HELD_OUT).collect()
-    gains = [best_repair(row["line"], model)[0] for row in accented]
+    gains = texts.mapInPandas(held_gains(model), "gain double, n long").groupBy("gain").agg(F.sum("n").alias("n"))
     # What the rule for clean lines lets through of garbled ones is under a hundredth of them.
-    model.margin = max(LEAST_MARGIN, ROOM + float(np.quantile(gains, 0.98))) if gains else LEAST_MARGIN
+    most = gains.agg(F.percentile("gain", 0.98, F.col("n"))).collect()[0][0]
+    model.margin = LEAST_MARGIN if most is None else max(LEAST_MARGIN, ROOM + most)
     return model
 
 

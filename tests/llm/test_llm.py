@@ -176,6 +176,13 @@ def test_wrong_encodings_come_back(encodings, sentence, chain):
     assert restored == f"first line\n{sentence}" and used
 
 
+def test_the_margin_is_that_of_all_held_out_lines(spark):
+    lines = [f"il était ce qu'il était en été {i}" for i in range(24_000)] + [f"Ã©tait Ã©tait Ã©tait Ã©tait Ã©tait {i}" for i in range(1200)]
+    data = [("d", i, "x", "\n".join(lines[i : i + 600]), None) for i in range(0, len(lines), 600)]
+    margins = {p04.train(pages(spark, rows)).margin for rows in (data, data[::-1])}
+    assert len(margins) == 1 and margins.pop() > p04.LEAST_MARGIN
+
+
 def test_single_byte_chains(encodings):
     for right, wrong, sentence in (("cp1256", "cp1252", SENTENCES[1]), ("cp1256", "mac_roman", SENTENCES[1]), ("cp1252", "cp437", SENTENCES[0].replace("’", "'"))):
         of = {b: c for c, b in p04.bytes_of(wrong).items()}
