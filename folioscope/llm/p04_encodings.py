@@ -3,7 +3,8 @@
 A smoothed character bigram model, with case, is counted over all clean pages by Spark; its alphabet is the ``ALPHABET`` most frequent
 characters, so it has at most ALPHABET squared entries whatever the corpus. Lines with transitions that the model finds
 rare are tried with every encode-decode chain, on their garbled stretches only, and again on the result (text may have been
-decoded wrongly twice). The likeliest candidate is accepted if it is likelier than the line by the margin and reads like clean text;
+decoded wrongly twice). Where UTF-8 and single bytes follow each other, twice the evidence is asked
+for; two chains of single bytes in a row have none but likelihood and aren't tried. The likeliest candidate is accepted if it is likelier than the line by the margin and reads like clean text;
 the margin is what any chain gains on clean lines held out from the model (98 in 100 of them), and some room.
 
 Defined cases: null and empty texts and pages of kind junk are never affected; U+FFFD within a garbled sequence stays where its letter is lost; repeated rows
@@ -34,9 +35,11 @@ RARE = -9.0
 CLEAN, CLEAN_WORDS = -7.5, -4.5
 #: Without UTF-8's evidence, so many characters must change, and each must gain so much.
 LEAST_CHANGED, GAIN_EACH = 2, 4.0
+#: Where UTF-8 and single bytes follow each other, so many times the characters must change, and gain over what one chain makes of the line.
+TWOFOLD = 2
 ROUNDS = 2
-#: Candidates that gain without reading well are followed up this many at a time.
-WIDTH = 4
+#: Words whose scores a task keeps, to look them up.
+SCORES_HELD = 100_000
 # The encodings that text is decoded with by mistake, and those that it was written in.
 WRONG = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1256", "iso8859-15"]
 RIGHT = ["cp1256", "cp1252", "iso8859-6"]
@@ -98,6 +101,7 @@ class Model:
         self.logs[0, 0] = np.float32(-13.0)
         self.margin = LEAST_MARGIN
         self.quick: list = []
+        self.scores: dict[str, float] = {}
 
     def codes(self, text: str) -> np.ndarray:
         raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -115,22 +119,26 @@ class Model:
         if not self.quick:
             self.quick.append((dict(zip(map(chr, np.flatnonzero(self.ids)), self.ids[self.ids > 0].tolist(), strict=True)), self.logs.tolist()))
         ids, logs = self.quick[0]
+        if word in self.scores:
+            return self.scores[word]
         total, last = 0.0, ids.get(" ", 0)
         for c in word:
             this = ids.get(c, 0)
             total += logs[last][this]
             last = this
-        return total + logs[last][ids.get(" ", 0)]
+        if len(self.scores) >= SCORES_HELD:
+            self.scores.clear()
+        self.scores[word] = total = total + logs[last][ids.get(" ", 0)]
+        return total
 
     def suspicious(self, text: str) -> set[int]:
-        """Numbers (from 0) of the lines with at least two rare transitions."""
+        """Numbers (from 0) of the lines with a rare transition."""
         steps = self.steps(f" {text} ".replace("\n", " "))
         rare = np.flatnonzero(steps <= RARE)
-        if len(rare) < 2:
+        if not len(rare):
             return set()
         ends = np.cumsum([len(x) + 1 for x in text.split("\n")])
-        line, n = np.unique(np.searchsorted(ends, rare, side="right"), return_counts=True)
-        return {int(x) for x, k in zip(line, n, strict=True) if k >= 2}
+        return set(np.searchsorted(ends, rare, side="right").tolist())
 
 
 def utf8_candidate(line: str, encoding: str) -> str:
@@ -184,12 +192,12 @@ def utf8_candidates(line: str) -> Iterator[tuple[str, str]]:
 
 def byte_candidates(line: str, model: Model) -> Iterator[tuple[str, str]]:
     """(chain, text) of every chain of single bytes that gains on some stretch."""
-    beyond = [ord(c) for c in line if c > "\x7f"]
+    beyond = Counter(ord(c) for c in line if c > "\x7f")
     for wrong in WRONG:
         for right in RIGHT:
             if right != wrong and {wrong, right} != {"cp1256", "iso8859-6"}:
                 table = letters_of(wrong, right)
-                if sum(c in table for c in beyond) >= LEAST_CHANGED:
+                if sum(n for c, n in beyond.items() if c in table) >= LEAST_CHANGED:
                     text = byte_candidate(line, table, model)
                     if text != line:
                         yield f"{right} as {wrong}", text
@@ -198,34 +206,40 @@ def byte_candidates(line: str, model: Model) -> Iterator[tuple[str, str]]:
 def best_repair(line: str, model: Model) -> tuple[float, list[str], str]:
     """(gain, chains, text) of the likeliest candidate that reads like clean text; a gain of 0 if none does.
 
-    UTF-8 comes first and is decoded again while it still shows UTF-8; single bytes are tried where that leaves rare transitions.
+    Every chain is tried on the line, and again on the results: all chains where the first one was UTF-8, UTF-8 where it was of single bytes.
     """
     before, best = model.score(line), (0.0, [], line)
     tried, open_ = {line}, [([], line)]
     for _ in range(ROUNDS):
-        further = []
+        further, single = [], best[0]
         for chains, now in open_:
             for chain, text in utf8_candidates(now):
                 if text in tried:
                     continue
                 tried.add(text)
                 gain = model.score(text) - before
-                if gain > best[0] and reads(line, text, model):
+                if gain > best[0] and reads(line, text, model) and (all_utf8(chains) or gain >= single + TWOFOLD * LEAST_CHANGED * GAIN_EACH):
                     best = (gain, [*chains, chain], text)
-                if any(sequences(w)[0].search(text) for w in WRONG[:2]):
-                    further.append((gain, [*chains, chain], text))
-        open_ = [(chains, text) for _, chains, text in sorted(further, key=lambda x: -x[0])[:WIDTH]]
-    if best[1] and not model.suspicious(best[2]):
-        return best
-    for chain, text in byte_candidates(line, model):
-        if text not in tried:
-            tried.add(text)
-            gain = model.score(text) - before
-            if gain > best[0] and reads_in_words(line, text, model):
-                best = (gain, [chain], text)
+                further.append(([*chains, chain], text))
+            if not all_utf8(chains):
+                continue
+            for chain, text in byte_candidates(now, model):
+                if text in tried:
+                    continue
+                tried.add(text)
+                gain = model.score(text) - before
+                least = TWOFOLD * LEAST_CHANGED if chains else LEAST_CHANGED
+                if gain > best[0] and reads_in_words(now, text, model, least) and (not chains or gain >= single + least * GAIN_EACH):
+                    best = (gain, [*chains, chain], text)
+                further.append(([*chains, chain], text))
+        open_ = further
     return best
 
 
+def all_utf8(chains: list[str]) -> bool:
+    return all(c.startswith("utf-8") for c in chains)
+
+
 def reads(line: str, text: str, model: Model) -> bool:
     """Whether what changed reads like clean text, with lost letters left out."""
     low = 0
@@ -239,12 +253,12 @@ def reads(line: str, text: str, model: Model) -> bool:
     return len(steps) == 0 or float(steps.mean()) >= CLEAN
 
 
-def reads_in_words(line: str, text: str, model: Model) -> bool:
+def reads_in_words(line: str, text: str, model: Model, least: int = LEAST_CHANGED) -> bool:
     """For chains of single bytes: whether enough characters changed, each to its gain, into words that read like clean text."""
     pairs = [(a, b) for a, b in zip(line.split(" "), text.split(" "), strict=False) if a != b]
     changed = sum(x != y for a, b in pairs for x, y in zip(a, b, strict=False))
     inner = [model.steps(b) for _, b in pairs if len(b) > 1]
-    if changed < LEAST_CHANGED or not inner or 2 * sum(map(len, inner)) < changed:
+    if changed < least or not inner or 2 * sum(map(len, inner)) < changed:
         return False
     if any(ARABIC.search(b) and (ARABIC.search(a) or LATIN.search(b)) for a, b in pairs):
         return False

@@ -6,6 +6,7 @@ import unicodedata
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,33 @@ def test_wrong_encodings_come_back(encodings, sentence, chain):
     assert restored == f"first line\n{sentence}" and used
 
 
+@pytest.mark.parametrize("sentence", SENTENCES[:2])
+@pytest.mark.parametrize("outer", ["cp1252", "latin-1", "mac_roman"])
+@pytest.mark.parametrize("inner", ["mac_roman", "cp437", "cp850", "cp1251", "cp1256"])
+def test_any_encoding_twice(encodings, sentence, inner, outer):
+    garbled = sentence
+    for wrong in (inner, outer):
+        of = {b: c for c, b in p04.bytes_of(wrong).items()}
+        garbled = "".join(chr(b) if b < 0x80 else of[b] for b in garbled.encode())
+    assert p04.repair(garbled, encodings)[0] == sentence
+
+
+def test_single_bytes_within_utf8(encodings):
+    of = {b: c for c, b in p04.bytes_of("cp1252").items()}
+    garbled = "".join(chr(b) if b < 0x80 else of[b] for b in SENTENCES[1].encode("cp1256"))
+    garbled = "".join(chr(b) if b < 0x80 else of[b] for b in garbled.encode())
+    restored = p04.repair(garbled, encodings)[0]
+    assert sum(a == b for a, b in zip(restored, SENTENCES[1], strict=False)) > 0.97 * len(SENTENCES[1])
+
+
+def test_one_rare_transition_is_enough():
+    lines = ["la rivalité de Fayba"] * 3000 + ["la Ã© de Fayba"] * 100
+    model = p04.Model(next(p04.count_pairs([pd.DataFrame({"text": ["\n".join(lines)]})])))
+    garbled = "la rivalitÃ© de Fayba"
+    assert (model.steps(garbled) <= p04.RARE).sum() == 1
+    assert p04.repair(garbled, model)[0] == lines[0]
+
+
 def test_the_margin_is_that_of_all_held_out_lines(spark):
     lines = [f"il était ce qu'il était en été {i}" for i in range(24_000)] + [f"Ã©tait Ã©tait Ã©tait Ã©tait Ã©tait {i}" for i in range(1200)]
     data = [("d", i, "x", "\n".join(lines[i : i + 600]), None) for i in range(0, len(lines), 600)]
