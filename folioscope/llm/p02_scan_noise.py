@@ -57,6 +57,7 @@ FRAGMENT = re.compile(r"^[A-Za-z]{1,4}[.,،؛;:]?$")
 LONG_LATIN = re.compile(r"[A-Za-zÀ-ɏ]{4}")
 TRIPLED = re.compile(r"([^\W\d_])\1\1\S*")
 ASCII_MARKS = re.compile(r"[!-/:-@\[-`{-~]")
+CELL = re.compile(r"[^\s|;,،]+")
 MARKS = re.compile("[\u0300-\u036f\u0653-\u0655]")
 
 
@@ -71,7 +72,9 @@ def junk(text: str) -> bool:
     if not tokens:
         return False
     n = len(tokens)
-    if chars > 30 * n or sum(len(t) <= 2 for t in tokens) > 0.6 * n or len(ASCII_MARKS.findall(text)) > 0.35 * chars:
+    if chars > 30 * n and (not (cells := CELL.findall(text)) or sum(map(len, cells)) > 30 * len(cells)):
+        return True
+    if sum(len(t) <= 2 for t in tokens) > 0.6 * n or len(ASCII_MARKS.findall(text)) > 0.35 * chars:
         return True
     # Where over 0.3 of the tokens have three letters of a kind, their mean length is well above that of prose.
     return chars > 5 * n and len(TRIPLED.findall(text)) > 0.3 * n

@@ -6,7 +6,7 @@ is built (partial sketches per task, merged per language), and values are held a
 
 The kind goes by the lines between the page's edges: ``table`` if most of them have the same number of the same column mark, ``list`` if most
 are marked or coded items, ``junk`` if the page has next to no common words (a low tail for its language) and its words are no words:
-single letters, glyph codes, endless strings, tripled letters or mostly ASCII punctuation. Wrongly decoded prose has none of these.
+single letters, glyph codes, endless strings (cells of a compact table aren't one), tripled letters or mostly ASCII punctuation. Wrongly decoded prose has none of these.
 
 Defined cases: null, empty and blank texts have statistics of 0 and the kind ``blank``; repeated rows count once; pages without any
 common word are of language ``und`` and form their own group of sketches.
@@ -25,8 +25,12 @@ FEW, LITTLE, LOW_TAIL = 0.1, 0.17, -2.0
 #: Share of the lines that make a list or table where common words are few, and where they are little.
 MOST, NEARLY_ALL = 0.55, 0.75
 EDGE = 2
+#: Mean length of tokens beyond that of words.
+LONG = 30
 # What parts the columns of a table, and what begins or marks an item of a list.
 COLUMN_MARKS = [r"\t", r"\|", r";", r"[,،](?!\s)", r" {2,}", r" \.\. "]
+#: What stands between the marks of columns without spaces: the words of a compact table, as endless strings have no marks.
+CELL = r"([^\s\p{Z}|;,،]+)"
 ITEM = r"^\s*(?:[-–—*•·●▪◦‣]\s|\(?\p{N}{1,3}[.)]\s|\(?\p{L}[.)]\s)|(?<![\p{L}\p{N}])\p{L}-\p{N}{3,6}(?!\p{N})"
 STATISTICS = ["n_words", "mean_word", "symbol_ratio", "ended_lines", "common_share", "digit_ratio", "short_share", "mean_line", "table_lines", "item_lines"]
 QUANTILES = [i / 20 for i in range(1, 20)]
@@ -81,7 +85,7 @@ def statistics(pages: DataFrame, common_words: DataFrame, ids: list[str], text:
         share(F.aggregate("_lines", F.lit(0), lambda a, x: a + F.length(x)), n_lines).alias("mean_line"),
         of_inner(F.greatest(*[same_columns(F.col("_lines"), m) for m in COLUMN_MARKS])).alias("table_lines"),
         of_inner(total(item)).alias("item_lines"),
-        share(chars, n_tokens).alias("_token"),
+        mean_token(F.col("_t"), chars, n_tokens).alias("_token"),
         share(count(F.col("_t"), r"[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]"), chars).alias("_ascii_marks"),
         share(F.size(F.filter("_tokens", lambda x: x.rlike(r"(\p{L})\1\1"))), n_tokens).alias("_tripled"),
     )
@@ -96,8 +100,14 @@ def sketches(stats: DataFrame) -> DataFrame:
     return merged.select(F.col("lang").alias("_lang"), *[F.kll_sketch_get_quantile_double(s, at).alias(f"q_{s}") for s in STATISTICS])
 
 
+def mean_token(text: Column, chars: Column, n_tokens: Column) -> Column:
+    """Mean length of the tokens; where they are too long for words, that of their cells if shorter."""
+    mean, cells = share(chars, n_tokens), F.regexp_extract_all(text, F.lit(CELL), F.lit(1))
+    return F.when(mean > LONG, F.least(mean, F.length(F.array_join(cells, "")) / F.nullif(F.size(cells), F.lit(0)))).otherwise(mean)
+
+
 def no_words(common_share: Column, short_share: Column, token: Column, ascii_marks: Column, tripled: Column) -> Column:
-    return (common_share < FEW) & ((short_share > 0.6) | (token > 30) | (ascii_marks > 0.35) | (tripled > 0.3))
+    return (common_share < FEW) & ((short_share > 0.6) | (token > LONG) | (ascii_marks > 0.35) | (tripled > 0.3))
 
 
 def is_junk(text: Column) -> Column:
@@ -106,7 +116,7 @@ def is_junk(text: Column) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(r"([^\s\p{Z}]+)"), F.lit(1))
     short, tripled = F.size(F.filter(tokens, lambda x: F.length(x) <= 2)), F.size(F.filter(tokens, lambda x: x.rlike(r"(\p{L})\1\1")))
     marks = count(text, r"[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]")
-    return no_words(F.lit(0.0), share(short, F.size(tokens)), share(F.length(bare), F.size(tokens)), share(marks, F.length(bare)), share(tripled, F.size(tokens)))
+    return no_words(F.lit(0.0), share(short, F.size(tokens)), mean_token(text, F.length(bare), F.size(tokens)), share(marks, F.length(bare)), share(tripled, F.size(tokens)))
 
 
 def robust_z(value: Column, quantiles: Column) -> Column:

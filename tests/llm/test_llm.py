@@ -157,6 +157,17 @@ def test_page_kinds(spark, common_words):
         assert spark.range(1).select(p03.is_junk(F.lit(text)).alias("j")).collect()[0]["j"] is want
 
 
+@pytest.mark.parametrize("mark", [",", "|", ";", "،"])
+def test_compact_tables_are_no_junk(spark, common_words, mark):
+    table = "\n".join([mark.join(["T4761a", "marble", "glazed-tile", "wood-carving", "acacia-beams"]), *[mark.join(["Dumifala", f"{i}9040", f"M{i}70279", "9200.5", "T85944"]) for i in range(18)]])
+    endless = "ebdf90bb3886064cc43ecfb6aca45c3d30361bf5e51a2f37207\n" * 9
+    got = {r["doc_id"]: r["kind"] for r in p03.kinds(pages(spark, [("t", 1, "x", table, None), ("j", 1, "x", endless, None)]), common_words, ["doc_id", "pdf_page"]).collect()}
+    assert got == {"t": "table", "j": "junk"}
+    for text, want in ((table, False), (endless, True)):
+        assert p02.junk(text) is want
+        assert spark.range(1).select(p03.is_junk(F.lit(text)).alias("j")).collect()[0]["j"] is want
+
+
 def test_sketches_merge_to_the_quantiles(spark):
     stats = spark.range(1000).select(F.lit("en").alias("lang"), *[F.col("id").cast("double").alias(s) for s in p03.STATISTICS]).where("n_words >= 0")
     q = p03.sketches(stats.repartition(7)).collect()[0]["q_common_share"]
