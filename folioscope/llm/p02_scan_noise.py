@@ -1,6 +1,6 @@
 """Problem 2: noise in the text of scanned pages, and the text without it.
 
-Running lines are found by how many pages of a book carry them at their edges, lines that nearly agree (a misread letter) included. Page
+Running lines are found by how many pages of a book carry them, some at their edges, lines that nearly agree (a misread letter) included. Page
 numbers are lines of nothing but a number at a page's edge whose distance from pdf_page fits the book's. Line ends inside a word are told
 from compounds by the corpus's own vocabulary: how often the joined word and the compound stand within lines. Misread words are words
 that only scanned pages have and that one confusion turns into a much more frequent word of the vocabulary; which single characters
@@ -29,8 +29,10 @@ from .common import cut
 
 LEAST_PAGES = 3
 LEAST_SHARE = 0.01
-EDGE_LINES = 3
-RUNNING_CHARS = 72
+EDGE_LINES = 4
+RUNNING_CHARS = 120
+#: A key that so many pages have at an edge counts wherever it stands.
+AT_EDGE = 2
 NEAR = 0.2
 #: A misread word's pattern must be so much more frequent, and stand so often on pages that weren't scanned.
 RATIO, LEAST_CLEAN = 10, 3
@@ -51,7 +53,6 @@ BEGIN = re.compile(r"\s*([^\W\d_]+)")
 NUMBER = re.compile(r"[\W_]*(?:(\d{1,4})|([ivxlcIVXLC]{1,7}))[\W_]*$")
 NOT_KEY = re.compile(r"[\W_]+")
 EDGE_NUMBER = re.compile(r"^[\W_]*\d+(?!\w)|(?<!\w)\d+[\W_]*$")
-WITHIN = re.compile(r"[.;:،؛]\s|,\s.*,\s")
 ARABIC, LATIN = re.compile("[\u0620-\u06ff\ufb50-\ufdff\ufe70-\ufefc]"), re.compile(r"[A-Za-z]")
 FRAGMENT = re.compile(r"^[A-Za-z]{1,4}[.,،؛;:]?$")
 LONG_LATIN = re.compile(r"[A-Za-zÀ-ɏ]{4}")
@@ -174,7 +175,7 @@ def read_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if number:
                     out.append((doc, page, "number", no, edge, None, None, None, int(number[1]) if number[1] else roman(number[2])))
                     continue
-                if len(line) <= RUNNING_CHARS and (edge < EDGE_LINES or ocr and not WITHIN.search(line)):
+                if len(line) <= RUNNING_CHARS:
                     key = key_of(line)
                     if len(key) >= 8:
                         out.append((doc, page, "line", no, edge, xxhash.xxh3_64_intdigest(key) - (1 << 63), key if edge < 2 else None, "ocr" if ocr else "", None))
@@ -188,11 +189,12 @@ def read_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def running_lines(lines: DataFrame, books: DataFrame) -> DataFrame:
     """(doc_id, pdf_page, line_no) of running lines on scanned pages."""
     keyed = lines.where("what = 'line'").select("doc_id", "id", "pdf_page", "line_no", "edge", "key", (F.col("other") == "ocr").alias("ocr"))
-    seen = keyed.where(F.col("edge") < EDGE_LINES).groupBy("doc_id", "id", "pdf_page").agg(F.max("key").alias("key"))
-    counts = seen.groupBy("doc_id", "id").agg(F.count("*").alias("n"), F.max("key").alias("key")).where(F.col("n") >= LEAST_PAGES)
+    seen = keyed.groupBy("doc_id", "id", "pdf_page").agg(F.max("key").alias("key"), F.min("edge").alias("edge"))
+    counts = seen.groupBy("doc_id", "id").agg(F.count("*").alias("n"), F.count_if(F.col("edge") < EDGE_LINES).alias("at_edge"), F.max("key").alias("key"))
+    counts = counts.where((F.col("n") >= LEAST_PAGES) & (F.col("at_edge") >= AT_EDGE))
     often = cut(counts.join(books, "doc_id").where(F.col("n") >= LEAST_SHARE * F.col("pages")).select("doc_id", "id", "key"))
     exact = keyed.where("ocr").join(often, ["doc_id", "id"], "left_semi").select("doc_id", "pdf_page", "line_no")
-    # A book has at most EDGE_LINES * 2 / LEAST_SHARE such keys, so each edge line meets a bounded number of them.
+    # A book has at most as many such keys as its pages have lines / LEAST_SHARE, so each edge line meets a bounded number of them.
     rest = keyed.where(F.col("ocr") & F.col("key").isNotNull()).join(often, ["doc_id", "id"], "left_anti")
     other = often.select("doc_id", F.col("key").alias("_key")).where("_key is not null")
     most = F.greatest(F.lit(1), F.floor(F.length("_key") * NEAR).cast("int"))

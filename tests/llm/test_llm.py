@@ -140,6 +140,18 @@ def test_scan_noise(spark):
     assert "fishermen of the coast and the well-kept gate from" in clean[41].replace("well- kept", "well-kept") and "inspector" in clean[41] and "41" not in clean[41] and " ee " not in clean[42]
 
 
+def test_running_lines_below_the_edge(spark):
+    notice, title = "The plates of this book may not be copied", "The register of the old forts and of the wells of the coast as the survey team had measured them before the harvest"
+    filler = lambda p, n: [f"{w} stood by the {w} wall of Fayba" for w in ("".join(random.Random(f"{p}-{i}").choices("abcdefgh", k=9)) for i in range(n))]
+    data = []
+    for page, above in enumerate([3, 3, 9, 9, 9], 1):  # two at the fourth line, three in the middle
+        data.append(("n", page, "ocr-x", "\n".join([*filler(page, above), notice, *filler(page + 50, 12)]), None))
+        data.append(("t", page, "ocr-x", "\n".join([title, *filler(page + 100, 12)]), None))
+    got = {(r["doc_id"], r["pdf_page"], r["line_no"]) for r in p02.defects(pages(spark, data)).where("defect = 'running_line'").collect()}
+    assert 72 < len(title) <= 120
+    assert got == {("n", 1, 4), ("n", 2, 4), ("n", 3, 10), ("n", 4, 10), ("n", 5, 10), *(("t", p, 1) for p in range(1, 6))}
+
+
 def test_fragments_and_roman():
     assert p02.fragments("a b (The walls of the) ii".split()) == [0, 1, 6] or p02.fragments("ا ee ب".split()) == [1]
     assert [p02.roman(x) for x in ("iv", "XII", "xc")] == [4, 12, 90]
