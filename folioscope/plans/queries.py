@@ -360,9 +360,16 @@ def import_upsert_merge(spark, sf_dir):
 
 @query
 def stale_anti_join(spark, sf_dir):
-    """Stored passages that chunking their pages anew no longer gives."""
-    built = ingest.build_passages(read(spark, sf_dir, "pages"))
-    return ingest.stale(read(spark, sf_dir, "passages"), built, built)
+    """Stored passages that chunking their pages anew no longer gives, those of pages that give none at all included."""
+    return stale_passages(read(spark, sf_dir, "pages"), read(spark, sf_dir, "passages"))
+
+
+def stale_passages(pages: DataFrame, stored: DataFrame) -> DataFrame:
+    built = ingest.build_passages(pages)
+    # Reviewed pages are approved whatever the gate says, so their passages stay where the recognized text gives none.
+    without = pages.select("doc_id", "pdf_page").join(built.select("doc_id", "pdf_page"), ["doc_id", "pdf_page"], "left_anti")
+    unreviewed = stored.where(~F.col("derivation").eqNullSafe("reviewed_transcription"))
+    return ingest.stale(stored, built, built).unionByName(ingest.stale(unreviewed, built, without))
 
 
 @query

@@ -251,3 +251,13 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r["entries"], r["usd"]) for r in spark.table("spend").collect()] == [(2, 2.5)]
+
+
+def test_excluded_pages_lose_their_passages(spark):
+    from folioscope.plans import queries
+
+    text = "The walls of the tower rise about forty metres and are made of stone. " * 9
+    pages = spark.createDataFrame([("d", 1, "pdfium", text), ("d", 2, "pdfium", ""), ("d", 3, "pdfium", None)], "doc_id string, pdf_page int, engine string, raw_text string")
+    kept = ingest.build_passages(pages).select("pid", "doc_id", "pdf_page", "derivation")
+    stored = kept.unionByName(spark.createDataFrame([("d:old", "d", 1, "extracted"), ("d:2", "d", 2, "extracted"), ("d:3", "d", 3, "ocr"), ("d:r", "d", 2, "reviewed_transcription"), ("e:1", "e", 1, "extracted")], kept.schema))
+    assert kept.count() and {r["pid"] for r in queries.stale_passages(pages, stored).collect()} == {"d:old", "d:2", "d:3"}
