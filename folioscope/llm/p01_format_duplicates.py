@@ -3,8 +3,8 @@
 Byte-identical texts are collapsed first, with counts; only the distinct survivors are brought to their canonical text, and
 these are grouped again with the counts summed. All of it is built-in expressions.
 
-Canonical text: the letters and digits (Unicode L and N) of the text in one case. A record is a text of at least
-``MIN_FIELDS`` parts, each ``label: value``, parted by semicolons, bullets, bars, slashes, line ends or commas; its canonical text is the sorted
+Canonical text: the letters and digits (Unicode L and N) of the text in one case. A record is a text of two or more
+parts, each ``label: value``, parted by semicolons, bullets, bars, slashes, line ends or commas; its canonical text is the sorted
 list of its fields, each label kept with its own value.
 
 Defined cases: null texts belong to no group; texts without any letter or digit (empty ones too) have the empty
@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import pairs_in_groups, text_key
 
-MIN_FIELDS = 3
-MAX_LABEL_CHARS = 40
+#: A text of one field has the same fields as another exactly if it has the same letters and digits.
+MIN_FIELDS = 2
 #: Marks between the fields of a record, and between a label and its value.
-FIELD_MARKS = r"[;؛；•·●▪|¦｜\n\r\t]|\s[/–—-]\s|[,،](?=[^,،:：=]{1,40}[:：=])"
+FIELD_MARKS = r"[;؛；•·●▪|¦｜\n\r\t]|\s[/–—-]\s|[,،](?=[^,،:：=]+[:：=])"
 LABEL_MARKS = r"[:：=]"
 
 
@@ -33,7 +33,7 @@ def letters_and_digits(text: Column) -> Column:
 def record_fields(text: Column) -> Column:
     """Sorted canonical fields of a ``label: value`` record, or null where the text is no such record."""
     parts = F.filter(F.split(text, FIELD_MARKS), lambda p: F.length(F.regexp_replace(p, r"[^\p{L}\p{N}]+", "")) > 0)
-    label = lambda p: letters_and_digits(F.regexp_extract(p, rf"^([^:：=]{{1,{MAX_LABEL_CHARS}}}){LABEL_MARKS}", 1))
+    label = lambda p: letters_and_digits(F.regexp_extract(p, rf"^([^:：=]+){LABEL_MARKS}", 1))
     value = lambda p: letters_and_digits(F.regexp_replace(p, rf"^[^:：=]*{LABEL_MARKS}", ""))
     fields = F.transform(parts, lambda p: F.concat(label(p), F.lit("\x1f"), value(p)))
     whole = F.forall(fields, lambda f: ~f.startswith("\x1f"))

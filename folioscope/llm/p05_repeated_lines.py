@@ -21,6 +21,8 @@ from .p01_format_duplicates import letters_and_digits
 
 MIN_CHARS = 15
 MIN_CLUSTERS = 5
+#: Keys that the lines of one spelling are spread over.
+SALTS = 16
 
 
 def bare_line(line: Column) -> Column:
@@ -42,24 +44,39 @@ def lines_of(rows: DataFrame, source: str, ids: list[str], text: str) -> DataFra
     return lines.select(*columns, (F.col("_pos") + 1).cast("int").alias("line_no"), F.col("_line.line").alias("line"), line_id.alias("line_id"))
 
 
-def repeated(lines: DataFrame, source: str, cluster: list[str], dates: str | None = None, least: int = MIN_CLUSTERS, least_dates: int = 1) -> DataFrame:
-    """Lines of a source on at least ``least`` distinct clusters, and ``least_dates`` distinct dates where dates are given."""
-    seen = lines.where("line_id is not null").groupBy(source, "line_id", *cluster).agg(*([F.min(dates).alias("_date")] if dates else [F.lit(1).alias("_date")]))
-    count = seen.groupBy(source, "line_id").agg(F.count("*").cast("int").alias("clusters"), F.count_distinct("_date").alias("_dates") if dates else F.lit(1).alias("_dates"))
-    return count.where((F.col("clusters") >= least) & (F.col("_dates") >= least_dates)).drop("_dates")
+def spread(lines: DataFrame, cluster: list[str]) -> DataFrame:
+    """The lines that can count, (group, line_id, cluster, line_no), in one exchange that serves counting and looking up.
 
+    A cluster's lines have one salt, so that a line that stands in all of a source's documents is in no one task.
+    """
+    salt = F.pmod(F.xxhash64(*cluster), F.lit(SALTS)).cast("int").alias("_salt")
+    return lines.where("line_id is not null").select("group", "line_id", *cluster, "line_no", salt).repartition("group", "line_id", "_salt")
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """Repeated lines of each book: (doc_id, pdf_page, line_no, clusters). A cluster is a page; the table's repeated rows count once.
 
-    Counting and looking up go by (book, line) and share one exchange of the lines' keys.
+def repeated(lines: DataFrame, cluster: list[str], dates: str | None = None, least: int = MIN_CLUSTERS, least_dates: int = 1) -> DataFrame:
+    """(group, line_id, clusters, dates): lines (of ``spread``) on at least ``least`` distinct clusters of their group, and ``least_dates`` distinct dates where dates are given.
+
+    Clusters are counted by salt, where each has its own, and summed. A line has at most as many days as the calendar.
     """
-    lines = lines_of(pages.where("doc_id is not null"), "doc_id", ["pdf_page"], "raw_text").where("line_id is not null")
-    lines = lines.select("doc_id", "line_id", "pdf_page", "line_no").repartition("doc_id", "line_id")
-    seen = lines.groupBy("doc_id", "line_id", "pdf_page").agg(F.min("line_no").alias("_first"))
-    counts = seen.groupBy("doc_id", "line_id").agg(F.count("*").cast("int").alias("clusters"), F.min("_first").alias("_first"))
-    counts = counts.where((F.col("clusters") >= MIN_CLUSTERS) & (F.col("_first") > 0)).drop("_first")
-    return lines.join(counts, ["doc_id", "line_id"]).select("doc_id", "pdf_page", "line_no", "clusters").distinct()
+    keys = ["group", "line_id"]
+    seen = lines.groupBy(*keys, "_salt", *cluster).agg(F.min("line_no").alias("_first"))  # reads every column, so that the exchange is shared
+    days = F.collect_set(dates) if dates else F.array(F.lit(None).cast("date"))
+    part = seen.where("_first > 0").groupBy(*keys, "_salt").agg(F.count("*").alias("_n"), days.alias("_days"))
+    count = part.groupBy(*keys).agg(F.sum("_n").cast("int").alias("clusters"), F.size(F.array_distinct(F.flatten(F.collect_list("_days")))).alias("dates"))
+    return count.where((F.col("clusters") >= least) & (F.col("dates") >= least_dates))
+
+
+def standing(lines: DataFrame, counts: DataFrame) -> DataFrame:
+    """The lines (of ``spread``) that are among the repeated ones."""
+    each = counts.select("group", "line_id", "clusters", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return lines.join(each, ["group", "line_id", "_salt"]).drop("_salt")
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """Repeated lines of each book: (doc_id, pdf_page, line_no, clusters). The clusters are the book's pages; repeated rows of a page collapse into one."""
+    lines = spread(lines_of(pages.where("doc_id is not null").withColumn("group", F.col("doc_id")), "group", ["pdf_page"], "raw_text"), ["pdf_page"])
+    found = standing(lines, repeated(lines, ["pdf_page"]))
+    return found.select(F.col("group").alias("doc_id"), "pdf_page", "line_no", "clusters").distinct()
 
 
 def without_repeated(pages: DataFrame) -> DataFrame:
@@ -71,15 +88,37 @@ def without_repeated(pages: DataFrame) -> DataFrame:
     return joined.select("doc_id", "pdf_page", F.when(F.col("_out").isNull(), F.col("raw_text")).otherwise(F.array_join(kept, "\n")).alias("clean_text"), F.coalesce(F.size("_out"), F.lit(0)).cast("int").alias("removed_lines"))
 
 
-def document_lines(documents: DataFrame, least: int = MIN_CLUSTERS) -> DataFrame:
-    """Repeated lines of each source of the articles: (source, line, clusters, dates).
+def article_lines(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, lines by cluster, repeated lines) of the articles.
 
     Documents with the same text of one source are one cluster, dated by its first publication, so that an article
-    published again counts once.
+    published again counts once. A group is a source; the null source is a group of its own.
     """
-    once = documents.select("source", "text", "created_at").where("text is not null")
-    clusters = once.groupBy("source", text_key(F.col("text")).alias("cluster")).agg(F.any_value("text").alias("text"), F.to_date(F.min("created_at")).alias("day"))
-    lines = lines_of(clusters, "source", ["cluster", "day"], "text")
-    named = lines.where("line_id is not null").groupBy("source", "line_id").agg(F.min("line").alias("line"), F.count_distinct("day").cast("int").alias("dates"))
-    counts = repeated(lines, "source", ["cluster"], "day", least, 2).select(F.col("source").alias("_source"), F.col("line_id").alias("_line"), "clusters")
-    return named.join(counts, (F.col("line_id") == F.col("_line")) & F.col("source").eqNullSafe(F.col("_source"))).select("source", "line", "clusters", "dates")
+    group = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    once = documents.select(group.alias("group"), "text", "created_at").where("text is not null")
+    clusters = once.groupBy("group", text_key(F.col("text")).alias("cluster")).agg(F.any_value("text").alias("text"), F.to_date(F.min("created_at")).alias("day"))
+    lines = lines_of(clusters, "group", ["cluster", "day"], "text")
+    apart = spread(lines, ["cluster", "day"])
+    return lines, apart, repeated(apart, ["cluster", "day"], "day", least, 2)
+
+
+def document_lines(documents: DataFrame, least: int = MIN_CLUSTERS) -> DataFrame:
+    """Repeated lines of each source of the articles: (source, line, clusters, dates)."""
+    lines, _, counts = article_lines(documents, least)
+    named = lines.where("line_id is not null").groupBy("group", "line_id").agg(F.min("line").alias("line"))
+    source = F.when(F.col("group") != "", F.substr("group", F.lit(2)))
+    return counts.join(named, ["group", "line_id"]).select(source.alias("source"), "line", "clusters", "dates")
+
+
+def clean_documents(documents: DataFrame, least: int = MIN_CLUSTERS) -> DataFrame:
+    """(doc_id, clean_text, removed_lines) of every article with text, without the lines repeated within its source."""
+    _, apart, counts = article_lines(documents, least)
+    found = standing(apart, counts).groupBy("group", "cluster").agg(F.collect_set("line_no").alias("_out"))
+    # Copies of one text may be a third of all documents: they meet their cluster's lines in as many tasks as there are salts.
+    found = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    group = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    rows = documents.select("doc_id", group.alias("group"), "text").where("text is not null").dropDuplicates()
+    rows = rows.withColumns({"cluster": text_key(F.col("text")), "_salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")})
+    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("_out"), (i + 1).cast("int")))
+    joined = rows.join(found, ["group", "cluster", "_salt"], "left")
+    return joined.select("doc_id", F.when(F.col("_out").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("clean_text"), F.coalesce(F.size("_out"), F.lit(0)).cast("int").alias("removed_lines"))

@@ -42,6 +42,8 @@ NAMES = {
     "de": ["de", "deu", "ger", "german"],
     "fa": ["fa", "fas", "per", "persian", "farsi", "pes"],
 }
+# Codes that say that the language isn't known, or that there are several or none.
+UNKNOWN = ["und", "unk", "mis", "mul", "zxx", "xx", "xxx", "na", "nan", "nil", "tbd", "qaa"]
 SENTENCE_END = re.compile(r"(?<=[.!?؟…])[\s\"'”’»)\]]+|\n+")
 NO_WORD = re.compile(r"\w*\d\w*|[\W_]+")
 WHOLE = re.compile(r"[.!?؟…][\s\"'”’»)\]]*$")
@@ -49,9 +51,9 @@ LETTER_RUN = re.compile(r"[^\W\d_]{2,}")
 
 
 def label_language(label: Column) -> Column:
-    """The language that a label names in whatever spelling, or null: none, empty, or a word for unknown."""
+    """The language that a label names in whatever spelling, or null: none, empty, or a word for unknown. A code of two or three letters beyond NAMES names a language of its own."""
     word = F.regexp_extract(F.lower(F.trim(label)), r"^([a-z]+)", 1)
-    out = F.lit(None).cast("string")
+    out = F.when(word.rlike("^[a-z]{2,3}$") & ~word.isin(UNKNOWN), word)
     for code, names in NAMES.items():
         out = F.when(word.isin(names), F.lit(code)).otherwise(out)
     return out

@@ -69,6 +69,10 @@ def p5_source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p05.document_lines(load(spark, sf_dir, "documents"))
 
 
+def p5_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p05.clean_documents(load(spark, sf_dir, "documents"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p06.look_alike_pairs(load(spark, sf_dir, "passages"), "pid", "text_raw").toDF("pid_a", "pid_b")
 
