@@ -1,145 +1,231 @@
 """Problem 3: statistics of each page's text, and its kind where it is mostly not prose.
 
-The statistics are built-in expressions over the page's lines and words. For every language a mergeable KLL quantile sketch of each statistic
-is built (partial sketches per task, merged per language), and values are held against it: as percentile, and as robust z-score
-(distance from the median in quartile ranges). A page is in a tail beyond TAIL.
+The statistics are taken in one pass over the characters of each batch. For every language a mergeable KLL quantile sketch of each
+statistic is built (partial sketches per task, merged per language); the languages' sketches are merged once more by script. Every page is
+then held against the sketches of its language, or of its script where its common words tell no language or the language has under
+``LEAST_PAGES`` pages: as percentile, and as robust z-score (distance from the median in quartile ranges).
 
-The kind goes by the lines between the page's edges: ``table`` if most of them have the same number of the same column mark, ``list`` if most
-are marked or coded items, ``junk`` if the page has next to no common words (a low tail for its language) and its words are no words:
-single letters, glyph codes, endless strings (cells of a compact table aren't one), tripled letters or mostly ASCII punctuation. Wrongly decoded prose has none of these.
+A statistic beyond its limit (``LOW``, ``HIGH``, else TAIL) is in a tail of the distribution, and the tails decide the kind. Every kind needs the low tail of
+common words. ``junk``: no language, and an extreme tail of short tokens, endless tokens, ASCII marks or tripled letters. ``table``, ``list``: the high tail of
+lines with the same columns, or of items, which must be most of the lines.
 
-Defined cases: null, empty and blank texts have statistics of 0 and the kind ``blank``; repeated rows count once; pages without any
-common word are of language ``und`` and form their own group of sketches.
+Defined cases: null, empty and blank texts have statistics of 0 and the kind ``blank``; repeated rows count once; pages with few
+common words are of language ``und``. Where under LEAST_PAGES pages have a language, PRIOR stands for the sketches.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Callable, Iterator
+from functools import cache, reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-TAIL = 3.5
-#: Common-word shares that prose of any language exceeds (surely, and mostly), and the z-score of its low tail.
-FEW, LITTLE, LOW_TAIL = 0.1, 0.17, -2.0
-#: Share of the lines that make a list or table where common words are few, and where they are little.
-MOST, NEARLY_ALL = 0.55, 0.75
+#: Share of common words from which on they tell the language.
+FEW = 0.1
+LEAST_PAGES = 30
+#: Lines that a kind must have: "mostly".
+MOST = 0.7
 EDGE = 2
-#: Mean length of tokens beyond that of words.
-LONG = 30
-# What parts the columns of a table, and what begins or marks an item of a list.
-COLUMN_MARKS = [r"\t", r"\|", r";", r"[,،](?!\s)", r" {2,}", r" \.\. "]
-#: What stands between the marks of columns without spaces: the words of a compact table, as endless strings have no marks.
-CELL = r"([^\s\p{Z}|;,،]+)"
-ITEM = r"^\s*(?:[-–—*•·●▪◦‣]\s|\(?\p{N}{1,3}[.)]\s|\(?\p{L}[.)]\s)|(?<![\p{L}\p{N}])\p{L}-\p{N}{3,6}(?!\p{N})"
-STATISTICS = ["n_words", "mean_word", "symbol_ratio", "ended_lines", "common_share", "digit_ratio", "short_share", "mean_line", "table_lines", "item_lines"]
-QUANTILES = [i / 20 for i in range(1, 20)]
-
-
-def count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
-
+STATISTICS = ["n_words", "mean_word", "symbol_ratio", "ended_lines", "common_share", "digit_ratio", "short_share", "mean_line", "table_lines", "item_lines", "mean_token", "ascii_marks", "tripled", "arabic_ratio"]
+#: Least spread of a statistic (a standard deviation), where a language's pages hardly differ.
+FLOORS = {"n_words": 20.0, "mean_word": 0.2, "mean_line": 5.0, "mean_token": 1.0, "ascii_marks": 0.02, "short_share": 0.02, "common_share": 0.02, "table_lines": 0.05, "item_lines": 0.05}
+FLOOR = 0.01
+#: z-scores from which on a statistic is in a tail.
+TAIL, EXTREME = 3.5, 16.0
+JUNK = ["short_share", "mean_token", "ascii_marks", "tripled"]
+LOW, HIGH = {"common_share": -2.2}, dict.fromkeys(JUNK, EXTREME)
+#: Median and quartile range of prose, for tables with too few pages to have sketches of their own.
+PRIOR = {"n_words": (150.0, 100.0), "mean_word": (4.5, 0.5), "ended_lines": (0.3, 0.2), "common_share": (0.32, 0.05), "short_share": (0.2, 0.05), "mean_line": (65.0, 15.0), "mean_token": (4.7, 0.5)}
+QUANTILES = [i / 100 for i in range(1, 100)]
+
+# What begins or marks an item of a list, what ends a sentence, what parts the cells of a compact table.
+ITEM = re.compile(r"\s*(?:[-–—*•·●▪◦‣]\s|\(?\d{1,3}[.)]\s|\(?[^\W\d_][.)]\s)|.*?(?<![^\W_])[^\W\d_]-\d{3,6}(?!\d)")
+ENDS, CELL_MARKS = ".!?؟…:؛", "|;,،"
+WORD, NUMBER, SPACE, ASCII_MARK, LETTER, ARABIC = 1, 2, 4, 8, 16, 32
+
+
+@cache
+def classes() -> np.ndarray:
+    """What each character is, as bits."""
+    out = np.zeros(0x110000, dtype=np.uint8)
+    for n in range(0x110000):
+        c, kind = chr(n), unicodedata.category(chr(n))
+        bits = (WORD if kind[0] in "LNM" else 0) | (NUMBER if kind[0] == "N" else 0) | (LETTER if kind[0] == "L" else 0)
+        bits |= SPACE if kind[0] == "Z" or c in "\t\n\v\f\r" else 0
+        bits |= ASCII_MARK if 0x21 <= n < 0x7F and not c.isalnum() else 0
+        out[n] = bits
+    for low, high in ((0x600, 0x6FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFC)):
+        out[low : high + 1] |= ARABIC
+    return out
+
+
+def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of true flags."""
+    d = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
+    return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
+
+
+def measure(texts: list[str], words_of: dict[str, list[str]]) -> pd.DataFrame:
+    """Statistics of every text, from one array of all their characters."""
+    n, joined = len(texts), "\n".join(texts)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kind = classes()[codes]
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=n)
+    ends = np.cumsum(sizes + 1) - 1
+    begins = ends - sizes
+    sums = lambda flags: np.concatenate([[0], np.cumsum(flags)])
+    within = lambda total, a, b: total[b] - total[a]
+    share = lambda part, whole: np.round(part / np.maximum(whole, 1), 6)
+    of_text = lambda places: np.searchsorted(ends, places, side="right")
+    count = lambda bit: within(sums(kind & bit > 0), begins, ends)
+    solid = kind & SPACE == 0
+    chars = within(sums(solid), begins, ends)
+    # Words and tokens.
+    w0, w1 = runs(kind & WORD > 0)
+    t0, t1 = runs(solid)
+    word_text, token_text = of_text(w0), of_text(t0)
+    n_words, n_tokens = np.bincount(word_text, minlength=n), np.bincount(token_text, minlength=n)
+    word_chars = np.bincount(word_text, weights=w1 - w0, minlength=n)
+    short = np.bincount(token_text, weights=t1 - t0 <= 2, minlength=n)
+    thrice = np.flatnonzero((codes[:-2] == codes[1:-1]) & (codes[1:-1] == codes[2:]) & (kind[:-2] & LETTER > 0)) if len(codes) > 2 else np.array([], dtype=np.int64)
+    tripled = np.bincount(token_text[np.unique(np.searchsorted(t0, thrice, side="right") - 1)], minlength=n) if len(thrice) else np.zeros(n)
+    # The cells of compact tables are words; an endless string has no marks that part it.
+    c0, c1 = runs(solid & ~np.isin(codes, [ord(c) for c in CELL_MARKS]))
+    cell_text = of_text(c0)
+    cells, cell_chars = np.bincount(cell_text, minlength=n), np.bincount(cell_text, weights=c1 - c0, minlength=n)
+    mean_token = np.where(cells > 0, np.minimum(share(chars, n_tokens), share(cell_chars, cells)), share(chars, n_tokens))
+    # Common words.
+    languages = sorted(words_of)
+    every = sorted({w for ws in words_of.values() for w in ws})
+    ids = {w: i for i, w in enumerate(every)}
+    low = joined.lower()
+    found = (low[a:b] for a, b in zip(w0.tolist(), w1.tolist(), strict=True)) if len(low) == len(joined) else (joined[a:b].lower() for a, b in zip(w0.tolist(), w1.tolist(), strict=True))
+    common = np.fromiter((ids.get(w, -1) for w in found), dtype=np.int64, count=len(w0))
+    hit, hit_text = common[common >= 0], word_text[common >= 0]
+    n_common = np.bincount(hit_text, minlength=n)
+    by = np.zeros((n, max(1, len(languages))))
+    for j, language in enumerate(languages):
+        has = np.zeros(len(every))
+        has[[ids[w] for w in words_of[language]]] = 1
+        by[:, j] = np.bincount(hit_text, weights=has[hit], minlength=n)
+    best = by.shape[1] - 1 - by[:, ::-1].argmax(1)
+    common_share = share(n_common, n_words)
+    lang = [languages[j] if languages and s >= FEW else "und" for j, s in zip(best, common_share, strict=True)]
+    # Lines.
+    breaks = np.flatnonzero(codes == 10)
+    l0, l1 = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(codes)]])
+    filled = within(sums(solid), l0, l1) > 0
+    l0, l1 = l0[filled], l1[filled]
+    line_text = np.searchsorted(ends, l0, side="right")
+    n_lines = np.bincount(line_text, minlength=n)
+    last = lambda flags: np.maximum.accumulate(np.where(flags, np.arange(len(codes)), -1)) if len(codes) else np.array([], dtype=np.int64)
+    last_end, last_word = last(np.isin(codes, [ord(c) for c in ENDS])), last(kind & WORD > 0)
+    ended = (last_end[l1 - 1] >= l0) & (last_end[l1 - 1] > last_word[l1 - 1]) if len(l0) else np.array([], dtype=bool)
+    items = np.fromiter((ITEM.match(joined, a, b) is not None for a, b in zip(l0.tolist(), l1.tolist(), strict=True)), dtype=bool, count=len(l0))
+    after, before = np.concatenate([codes[1:], [10]])[: len(codes)], np.concatenate([[10], codes[:-1]])[: len(codes)]
+    is_ = lambda c: codes == ord(c)
+    dots = np.zeros(len(codes), dtype=bool)
+    if len(codes) > 3:
+        dots[:-3] = (codes[:-3] == 32) & (codes[1:-2] == 46) & (codes[2:-1] == 46) & (codes[3:] == 32)
+    marks = [is_("\t"), is_("|"), is_(";"), (is_(",") | is_("،")) & ~np.isin(after, [32, 9, 11, 12, 13]), is_(" ") & (after == 32) & (before != 32), dots]
+    columns = np.zeros(n)
+    for mark in marks:
+        per_line = within(sums(mark), l0, l1)
+        some = per_line > 0
+        if some.any():
+            key, lines = np.unique(line_text[some] * 100_000 + np.minimum(per_line[some], 99_999), return_counts=True)
+            np.maximum.at(columns, key // 100_000, lines)
+    # Lines at the edges may be running lines or the page's number: up to EDGE of them at either end don't count against a kind.
+    inner = np.maximum(1, n_lines - np.minimum(2 * EDGE, np.maximum(0, n_lines - 3)))
+    of_inner = lambda lines: np.minimum(1.0, share(lines, inner))
+    arabic, letters = count(ARABIC), within(sums((kind & LETTER > 0) & (kind & ARABIC == 0)), begins, ends)
+    return pd.DataFrame({
+        "lang": lang, "n_lines": n_lines.astype(np.int32), "n_words": n_words.astype(np.int32), "mean_word": share(word_chars, n_words), "symbol_ratio": share(within(sums(solid & (kind & WORD == 0)), begins, ends), chars),
+        "ended_lines": share(np.bincount(line_text, weights=ended, minlength=n), n_lines), "common_share": common_share, "digit_ratio": share(count(NUMBER), chars), "short_share": share(short, n_tokens),
+        "mean_line": share(np.bincount(line_text, weights=l1 - l0, minlength=n), n_lines), "table_lines": of_inner(columns), "item_lines": of_inner(np.bincount(line_text, weights=items, minlength=n)),
+        "mean_token": mean_token, "ascii_marks": share(count(ASCII_MARK), chars), "tripled": share(tripled, n_tokens), "arabic_ratio": np.round(arabic / np.maximum(arabic + letters, 1), 3),
+    })
 
-def share(part: Column, whole: Column) -> Column:
-    return F.round(F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(0.0)), 6)
 
+def reader(words_of: dict[str, list[str]], ids: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                measured = measure(batch["_text"].tolist(), words_of)
+                yield pd.concat([batch[ids].reset_index(drop=True), measured], axis=1)
 
-def same_columns(lines: Column, mark: str) -> Column:
-    """Number of lines with the commonest number (at least one) of this column mark."""
-    counts = F.transform(lines, lambda x: count(x, mark))
-    some = F.array_distinct(F.filter(counts, lambda n: n > 0))
-    return F.aggregate(some, F.lit(0), lambda best, n: F.greatest(best, F.size(F.filter(counts, lambda x: x == n))))
+    return read
 
 
 def statistics(pages: DataFrame, common_words: DataFrame, ids: list[str], text: str = "raw_text") -> DataFrame:
-    """One row per distinct (ids, text): language, statistics, and the shares that tell the kind. The common words are a fixed small table."""
+    """One row per distinct (ids, statistics): language, number of lines, statistics. The common words are a fixed small table."""
     words_of: dict[str, list[str]] = {}
-    for row in common_words.select("lang", "word").where("lang is not null and word is not null").distinct().collect():
+    for row in common_words.select("lang", F.lower("word").alias("word")).where("lang is not null and word is not null").distinct().collect():
         words_of.setdefault(row["lang"], []).append(row["word"])
-    every = sorted({w for ws in words_of.values() for w in ws})
-    rows = pages.select(*ids, F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    rows = rows.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\s\p{Z}]")))
-    rows = rows.withColumn("_words", F.regexp_extract_all(F.lower("_t"), F.lit(r"([\p{L}\p{N}\p{M}]+)"), F.lit(1)))
-    rows = rows.withColumn("_tokens", F.regexp_extract_all("_t", F.lit(r"([^\s\p{Z}]+)"), F.lit(1)))
-    rows = rows.withColumn("_common", F.filter("_words", lambda w: w.isin(every)))
-    of = lambda ws: F.size(F.filter("_common", lambda w: w.isin(ws)))
-    by_language = [F.struct(of(ws).alias("n"), F.lit(code).alias("code")) for code, ws in sorted(words_of.items())]
-    best = F.array_max(F.array(*by_language)) if by_language else F.struct(F.lit(0).alias("n"), F.lit("und").alias("code"))
-    n_lines, n_words, n_tokens, chars = F.size("_lines"), F.size("_words"), F.size("_tokens"), F.length(F.regexp_replace("_t", r"[\s\p{Z}]+", ""))
-    item = F.transform("_lines", lambda x: x.rlike(ITEM).cast("int"))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    # Lines at the edges may be running lines or the page's number: up to EDGE of them at either end don't count against a kind.
-    inner = F.greatest(F.lit(1), n_lines - F.least(F.lit(2 * EDGE), F.greatest(F.lit(0), n_lines - 3)))
-    of_inner = lambda n: F.least(F.lit(1.0), share(n, inner))
-    rows = rows.select(
-        *ids,
-        F.when(best["n"] > 0, best["code"]).otherwise("und").alias("lang"),
-        n_lines.alias("n_lines"),
-        n_words.alias("n_words"),
-        share(F.length(F.array_join("_words", "")), n_words).alias("mean_word"),
-        share(count(F.col("_t"), r"[^\p{L}\p{N}\p{M}\p{Z}\s]"), chars).alias("symbol_ratio"),
-        share(F.size(F.filter("_lines", lambda x: x.rlike(r"[.!?؟…:؛]\W*$"))), n_lines).alias("ended_lines"),
-        share(F.size("_common"), n_words).alias("common_share"),
-        share(count(F.col("_t"), r"\p{N}"), chars).alias("digit_ratio"),
-        share(F.size(F.filter("_tokens", lambda x: F.length(x) <= 2)), n_tokens).alias("short_share"),
-        share(F.aggregate("_lines", F.lit(0), lambda a, x: a + F.length(x)), n_lines).alias("mean_line"),
-        of_inner(F.greatest(*[same_columns(F.col("_lines"), m) for m in COLUMN_MARKS])).alias("table_lines"),
-        of_inner(total(item)).alias("item_lines"),
-        mean_token(F.col("_t"), chars, n_tokens).alias("_token"),
-        share(count(F.col("_t"), r"[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]"), chars).alias("_ascii_marks"),
-        share(F.size(F.filter("_tokens", lambda x: x.rlike(r"(\p{L})\1\1"))), n_tokens).alias("_tripled"),
-    )
-    return rows.dropDuplicates()
+    rows = pages.select(*ids, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*ids).schema)
+    kinds = ", ".join(f"{s} {'int' if s == 'n_words' else 'double'}" for s in STATISTICS)
+    return rows.mapInPandas(reader(words_of, ids), f"{columns}, lang string, n_lines int, {kinds}").dropDuplicates()
 
 
-def sketches(stats: DataFrame) -> DataFrame:
-    """Per language, quantiles of each statistic (``q_<name>``) from its merged sketch."""
-    # The sketch wants doubles, and pages with text only.
-    merged = stats.where("n_words > 0").groupBy("lang").agg(*[F.kll_sketch_agg_double(F.col(s).cast("double")).alias(s) for s in STATISTICS])
-    at = F.array(*[F.lit(q) for q in QUANTILES])
-    return merged.select(F.col("lang").alias("_lang"), *[F.kll_sketch_get_quantile_double(s, at).alias(f"q_{s}") for s in STATISTICS])
+def script() -> Column:
+    return F.when(F.col("arabic_ratio") >= 0.5, "arabic").otherwise("other")
 
 
-def mean_token(text: Column, chars: Column, n_tokens: Column) -> Column:
-    """Mean length of the tokens; where they are too long for words, that of their cells if shorter."""
-    mean, cells = share(chars, n_tokens), F.regexp_extract_all(text, F.lit(CELL), F.lit(1))
-    return F.when(mean > LONG, F.least(mean, F.length(F.array_join(cells, "")) / F.nullif(F.size(cells), F.lit(0)))).otherwise(mean)
+def sketches(stats: DataFrame) -> DataFrame:
+    """(lang, script, n, and a sketch of each statistic) of every language in each script, from the pages with a language."""
+    # The sketch wants doubles.
+    return stats.where("lang != 'und'").groupBy("lang", script().alias("script")).agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(s).cast("double")).alias(s) for s in STATISTICS])
+
 
+def quantiles(merged: DataFrame) -> DataFrame:
+    """References that pages are held against: (ref, n, q_<statistic>), ref a language or a script.
 
-def no_words(common_share: Column, short_share: Column, token: Column, ascii_marks: Column, tripled: Column) -> Column:
-    return (common_share < FEW) & ((short_share > 0.6) | (token > LONG) | (ascii_marks > 0.35) | (tripled > 0.3))
+    The rows are as many as the languages of the common words, in two scripts; their sketches are merged by language and by script.
+    """
+    each = merged.select(F.explode(F.array("lang", "script")).alias("ref"), "n", *STATISTICS)
+    whole = each.groupBy("ref").agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(s).alias(s) for s in STATISTICS])
+    at = F.array(*[F.lit(q) for q in QUANTILES])
+    return whole.where(F.col("n") >= LEAST_PAGES).select("ref", *[F.kll_sketch_get_quantile_double(s, at).alias(f"q_{s}") for s in STATISTICS])
 
 
-def is_junk(text: Column) -> Column:
-    """Whether a text is of kind junk, by its tokens alone (the common words are too few in such texts to tell anything more)."""
-    bare = F.regexp_replace(text, r"[\s\p{Z}]+", "")
-    tokens = F.regexp_extract_all(text, F.lit(r"([^\s\p{Z}]+)"), F.lit(1))
-    short, tripled = F.size(F.filter(tokens, lambda x: F.length(x) <= 2)), F.size(F.filter(tokens, lambda x: x.rlike(r"(\p{L})\1\1")))
-    marks = count(text, r"[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]")
-    return no_words(F.lit(0.0), share(short, F.size(tokens)), mean_token(text, F.length(bare), F.size(tokens)), share(marks, F.length(bare)), share(tripled, F.size(tokens)))
+def held(stats: DataFrame) -> DataFrame:
+    """``stats`` with z-scores (``z_<statistic>``) and the quantiles (``q_<statistic>``) that they are held against."""
+    # A few rows: one per language and script.
+    refs = quantiles(sketches(stats))
+    by_language, by_script = (F.broadcast(refs.select(F.struct(*[f"q_{s}" for s in STATISTICS]).alias(name), F.col("ref").alias(f"_{name}"))) for name in ("own", "of_script"))
+    joined = stats.join(by_language, F.col("lang") == F.col("_own"), "left").join(by_script, script() == F.col("_of_script"), "left")
+    joined = joined.withColumn("_q", F.coalesce("own", "of_script")).drop("own", "of_script", "_own", "_of_script")
 
+    def z(s: str) -> Column:
+        q, (middle, spread) = F.col("_q")[f"q_{s}"], PRIOR.get(s, (0.0, 0.0))
+        median, quartiles = F.coalesce(q[49], F.lit(middle)), F.coalesce(q[74] - q[24], F.lit(spread))
+        return F.round((F.col(s) - median) / F.greatest(quartiles / F.lit(1.349), F.lit(FLOORS.get(s, FLOOR))), 4)
 
-def robust_z(value: Column, quantiles: Column) -> Column:
-    """Distance from the median in units of the quartile range scaled to a standard deviation; a range of 0 counts as a small one."""
-    spread = F.greatest((quantiles[14] - quantiles[4]) / F.lit(1.349), F.lit(0.005))
-    return (value - quantiles[9]) / spread
+    return joined.select("*", *[z(s).alias(f"z_{s}") for s in STATISTICS])
 
 
 def kinds(pages: DataFrame, common_words: DataFrame, ids: list[str], text: str = "raw_text") -> DataFrame:
-    """The statistics with percentiles, robust z-scores, tails (``tails``: names of the statistics in one) and ``kind``."""
-    stats = cut(statistics(pages, common_words, ids, text))
-    # One row per language: its size is bounded by the common words' languages.
-    held = stats.join(F.broadcast(sketches(stats)), F.col("lang") == F.col("_lang"), "left")
-    z = {s: F.coalesce(F.round(robust_z(F.col(s), F.col(f"q_{s}")), 4), F.lit(0.0)) for s in STATISTICS}
-    percentile = lambda s: F.round(F.size(F.filter(f"q_{s}", lambda q: q <= F.col(s))) / F.lit(len(QUANTILES) + 1.0), 3)
-    little = (F.col("common_share") < LITTLE) & (z["common_share"] <= LOW_TAIL)
-    enough = lambda c: (F.col(c) >= F.when(F.col("common_share") < FEW, MOST).otherwise(NEARLY_ALL)) & ((F.col("common_share") < FEW) | little)
+    """The statistics with percentiles, robust z-scores, ``tails`` (names of the statistics in one, with its side) and ``kind``."""
+    rows = held(cut(statistics(pages, common_words, ids, text)))
+    beyond = lambda s: [F.when(F.col(f"z_{s}") >= HIGH.get(s, TAIL), F.lit(f"+{s}")), F.when(F.col(f"z_{s}") <= LOW.get(s, -TAIL), F.lit(f"-{s}"))]
+    rows = rows.withColumn("tails", F.array_compact(F.array(*[x for s in STATISTICS for x in beyond(s)])))
+    tail = lambda name: F.array_contains("tails", name)
+    most = lambda s: tail(f"+{s}") & (F.col(s) >= MOST)
+    no_prose = tail("-common_share")
     kind = (
         F.when(F.col("n_lines") == 0, "blank")
-        .when(no_words(*(F.col(c) for c in ("common_share", "short_share", "_token", "_ascii_marks", "_tripled"))), "junk")
-        .when(enough("table_lines") & (F.col("table_lines") >= F.col("item_lines")), "table")
-        .when(enough("item_lines"), "list")
+        .when(no_prose & (F.col("lang") == "und") & reduce(lambda a, b: a | b, [tail(f"+{s}") for s in JUNK]), "junk")
+        .when(no_prose & most("table_lines") & (F.col("table_lines") >= F.col("item_lines")), "table")
+        .when(no_prose & most("item_lines"), "list")
         .otherwise("prose")
     )
-    tails = F.array_compact(F.array(*[F.when(F.abs(z[s]) > TAIL, F.lit(s)) for s in STATISTICS]))
-    return held.select(*ids, "lang", *STATISTICS, *[F.coalesce(percentile(s), F.lit(0.0)).alias(f"{s}_pct") for s in STATISTICS], z["common_share"].alias("common_share_z"), tails.alias("tails"), kind.alias("kind"))
+    percentile = lambda s: F.round(F.size(F.filter(F.col("_q")[f"q_{s}"], lambda q: q <= F.col(s))) / F.lit(len(QUANTILES) + 1.0), 3)
+    return rows.select(*ids, "lang", *STATISTICS, *[F.greatest(F.coalesce(percentile(s), F.lit(0.0)), F.lit(0.0)).alias(f"{s}_pct") for s in STATISTICS], *[f"z_{s}" for s in STATISTICS], "tails", kind.alias("kind"))

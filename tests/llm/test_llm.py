@@ -166,7 +166,6 @@ def test_page_kinds(spark, common_words):
     assert [got[k] for k in (("d", 3), ("t", 1), ("l", 1), ("j", 1), ("j", 2), ("b", 1), ("m", 1))] == ["prose", "table", "list", "junk", "junk", "blank", "prose"]
     for text, want in (("f 9 x ن 4 r 2 qq 1 z " * 12, True), (ENGLISH, False), (listing, False)):
         assert p02.junk(text) is want
-        assert spark.range(1).select(p03.is_junk(F.lit(text)).alias("j")).collect()[0]["j"] is want
 
 
 @pytest.mark.parametrize("mark", [",", "|", ";", "،"])
@@ -177,13 +176,46 @@ def test_compact_tables_are_no_junk(spark, common_words, mark):
     assert got == {"t": "table", "j": "junk"}
     for text, want in ((table, False), (endless, True)):
         assert p02.junk(text) is want
-        assert spark.range(1).select(p03.is_junk(F.lit(text)).alias("j")).collect()[0]["j"] is want
 
 
 def test_sketches_merge_to_the_quantiles(spark):
-    stats = spark.range(1000).select(F.lit("en").alias("lang"), *[F.col("id").cast("double").alias(s) for s in p03.STATISTICS]).where("n_words >= 0")
-    q = p03.sketches(stats.repartition(7)).collect()[0]["q_common_share"]
-    assert np.allclose(q, [1000 * x for x in p03.QUANTILES], atol=25)
+    values = [F.lit(0.0).alias(s) if s == "arabic_ratio" else F.col("id").cast("double").alias(s) for s in p03.STATISTICS]
+    stats = spark.range(1000).select(F.when(F.col("id") % 2 == 0, "en").otherwise("fr").alias("lang"), *values)
+    q = {r["ref"]: r["q_common_share"] for r in p03.quantiles(p03.sketches(stats.repartition(7))).collect()}
+    assert set(q) == {"en", "fr", "other"}
+    for got in q.values():
+        assert np.allclose(got, [1000 * x for x in p03.QUANTILES], atol=25)
+
+
+def brute_statistics(text, common):
+    lines = [x for x in text.split("\n") if x.strip()]
+    words = [w for w in re.findall(r"[^\W_]+", text.lower()) if w]
+    tokens = text.split()
+    chars = sum(map(len, tokens))
+    return {
+        "n_lines": len(lines), "n_words": len(words), "mean_word": sum(map(len, words)) / max(1, len(words)), "common_share": sum(w in common for w in words) / max(1, len(words)),
+        "short_share": sum(len(t) <= 2 for t in tokens) / max(1, len(tokens)), "digit_ratio": sum(c.isdigit() for c in text) / max(1, chars), "mean_line": sum(map(len, lines)) / max(1, len(lines)),
+        "ended_lines": sum(bool(re.search(r"[.!?؟…:؛][\W_]*$", x)) for x in lines) / max(1, len(lines)), "tripled": sum(bool(re.search(r"([^\W\d_])\1\1", t)) for t in tokens) / max(1, len(tokens)),
+        "symbol_ratio": sum(not c.isalnum() and not c.isspace() for c in text) / max(1, chars),
+    }
+
+
+def test_statistics_against_brute_force():
+    r = random.Random(2)
+    texts = ["", "\n", " ", "x", ENGLISH, ARABIC, "aaa bbb. ccc\nThe of 12!\n\n - last (٣٤) …", *["".join(r.choices("ab cC.\n1;ن،é😀|", k=r.randrange(300))) for _ in range(40)]]
+    words = {"en": ["the", "of", "a"], "fr": ["b", "a"]}
+    got = p03.measure(texts, words)
+    for text, row in zip(texts, got.to_dict("records"), strict=True):
+        for name, value in brute_statistics(text, {"the", "of", "a", "b"}).items():
+            assert row[name] == pytest.approx(value, abs=1e-6), (text, name)
+
+
+def test_the_sketches_decide_the_kind(spark, common_words):
+    """The same page is short words' junk among long words, and prose where every page has as short ones."""
+    page = "b c d e f g hh ii the jj kk " * 3 + "longest words of it"
+    of = lambda words: [("d", i, "x", f"the {words} of the {words} and the {words} of {i}", None) for i in range(80)]
+    tails = lambda data: next(r["tails"] for r in p03.kinds(pages(spark, [*data, ("p", 1, "x", page, None)]), common_words, ["doc_id", "pdf_page"]).where("doc_id = 'p'").collect())
+    assert "+short_share" in tails(of("harbours quarters fishermen")) and "+short_share" not in tails(of("b c d e hh kk ii jj") + [("e", i, "x", "the " + "b c d e " * i + "harbours " * (40 - i), None) for i in range(40)])
 
 
 SENTENCES = ["La nécropole fut bâtie en pierre de corail où l’on enseignait la torréfaction du café.", "يقع الجدار المتهدم على مرتفع يطل على الوادي، ثم صور الصيادون جزءا منه في أواخر الخريف.", "At the gate the café of the old town cost ½ a coin… or so the “façade” claimed."]
