@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -20,17 +21,22 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from there, so that later stages don't run its plan again.
+    """Write ``df`` as a table into the reliable checkpoint folder and read on from there, so that later stages don't run its plan again.
 
-    The folder is the cluster's spark.checkpoint.dir. A local one is made only in a local session that has none, as in tests.
+    The folder is the cluster's spark.checkpoint.dir; a local one is made only in a local session that has none, as in tests.
+    The table goes when the session ends.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.split("[")[0] == "local":
+        if not folder and context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="folioscope-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def text_key(text: Column) -> Column:

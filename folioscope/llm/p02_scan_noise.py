@@ -1,6 +1,6 @@
 """Problem 2: noise in the text of scanned pages, and the text without it.
 
-Running lines are found by how many pages of a book carry them, some at their edges, lines that nearly agree (a misread letter) included. Page
+Running lines are found by how many pages of a book carry them, some at their edges, lines that nearly agree (a misread letter in twenty) included. Page
 numbers are lines of nothing but a number at a page's edge whose distance from pdf_page fits the book's. Line ends inside a word are told
 from compounds by the corpus's own vocabulary: how often the joined word and the compound stand within lines. Misread words are words
 that only scanned pages have and that one confusion turns into a much more frequent word of the vocabulary; which single characters
@@ -25,15 +25,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Bloom, cut
 
 LEAST_PAGES = 3
-LEAST_SHARE = 0.01
 EDGE_LINES = 4
-RUNNING_CHARS = 120
+#: Least letters and digits of a running line, and letters for one misread letter beside the first.
+LEAST_KEY, LETTERS_EACH = 8, 20
+#: Keys that the pages of one book or running line are spread over.
+SALTS = 16
 #: A key that so many pages have at an edge counts wherever it stands.
 AT_EDGE = 2
-NEAR = 0.2
 #: A misread word's pattern must be so much more frequent, and stand so often on pages that weren't scanned.
 RATIO, LEAST_CLEAN = 10, 3
 SET_LIMIT = 200_000
@@ -50,7 +51,7 @@ COMPOUND = re.compile(r"(?<!\w)[^\W\d_]+[-‐][^\W\d_]+")
 BREAK = re.compile(r"[-‐‑¬\xad][ \t]*\n")
 END = re.compile(r"([^\W\d_]+)([-‐‑¬\xad])\s*$")
 BEGIN = re.compile(r"\s*([^\W\d_]+)")
-NUMBER = re.compile(r"[\W_]*(?:(\d{1,4})|([ivxlcIVXLC]{1,7}))[\W_]*$")
+NUMBER = re.compile(r"[\W_]*(?:(\d{1,9})|([ivxlcIVXLC]{1,7}))[\W_]*$")
 NOT_KEY = re.compile(r"[\W_]+")
 EDGE_NUMBER = re.compile(r"^[\W_]*\d+(?!\w)|(?<!\w)\d+[\W_]*$")
 ARABIC, LATIN = re.compile("[\u0620-\u06ff\ufb50-\ufdff\ufe70-\ufefc]"), re.compile(r"[A-Za-z]")
@@ -171,14 +172,13 @@ def read_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lines = [(i + 1, x) for i, x in enumerate(composed(text).split("\n")) if x and not x.isspace()]
             for k, (no, line) in enumerate(lines):
                 edge = min(k, len(lines) - 1 - k)
-                number = NUMBER.match(line) if edge <= 1 and ocr and len(line) < 20 else None
+                number = NUMBER.match(line) if edge <= 1 and ocr else None
                 if number:
                     out.append((doc, page, "number", no, edge, None, None, None, int(number[1]) if number[1] else roman(number[2])))
                     continue
-                if len(line) <= RUNNING_CHARS:
-                    key = key_of(line)
-                    if len(key) >= 8:
-                        out.append((doc, page, "line", no, edge, xxhash.xxh3_64_intdigest(key) - (1 << 63), key if edge < 2 else None, "ocr" if ocr else "", None))
+                key = key_of(line)
+                if len(key) >= LEAST_KEY:
+                    out.append((doc, page, "line", no, edge, xxhash.xxh3_64_intdigest(f"{doc}\x00{key}") - (1 << 63), key if edge < 2 else None, "ocr" if ocr else "", None))
                 if ocr and line.rstrip()[-1] in MARKS_AT_END and (cut_ := END.search(line)):
                     heads = [m[1] for _, x in lines[k + 1 : k + 4] if (m := BEGIN.match(x))]
                     out.append((doc, page, "hyphen", no, edge, None, cut_[1].lower() + cut_[2], " ".join(h.lower() for h in heads), None))
@@ -186,21 +186,53 @@ def read_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["doc_id", "pdf_page", "what", "line_no", "edge", "id", "key", "other", "value"]).astype({"value": "Int32", "id": "Int64"})
 
 
-def running_lines(lines: DataFrame, books: DataFrame) -> DataFrame:
-    """(doc_id, pdf_page, line_no) of running lines on scanned pages."""
+def salt() -> Column:
+    return F.pmod(F.xxhash64("pdf_page"), F.lit(SALTS)).cast("int").alias("_salt")
+
+
+def each_salt() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+
+
+def grams(length: Column, key: Column) -> Column:
+    """Hashed runs of letters of a key, as long as at least one of them stays whole in any line that nearly agrees with it."""
+    size = F.when(length < 20, 4).when(length < 40, 6).otherwise(8)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) - size + 1), lambda i: F.xxhash64("doc_id", F.substr(key, i, size))))
+
+
+def running_lines(lines: DataFrame) -> DataFrame:
+    """(doc_id, pdf_page, line_no) of running lines on scanned pages.
+
+    ``id`` is of book and key. Keys at the edges of two pages are counted first; of all other lines only those with such a key
+    leave the scan, by a Bloom filter of bounded size, and are counted exactly.
+    """
     keyed = lines.where("what = 'line'").select("doc_id", "id", "pdf_page", "line_no", "edge", "key", (F.col("other") == "ocr").alias("ocr"))
-    seen = keyed.groupBy("doc_id", "id", "pdf_page").agg(F.max("key").alias("key"), F.min("edge").alias("edge"))
-    counts = seen.groupBy("doc_id", "id").agg(F.count("*").alias("n"), F.count_if(F.col("edge") < EDGE_LINES).alias("at_edge"), F.max("key").alias("key"))
-    counts = counts.where((F.col("n") >= LEAST_PAGES) & (F.col("at_edge") >= AT_EDGE))
-    often = cut(counts.join(books, "doc_id").where(F.col("n") >= LEAST_SHARE * F.col("pages")).select("doc_id", "id", "key"))
-    exact = keyed.where("ocr").join(often, ["doc_id", "id"], "left_semi").select("doc_id", "pdf_page", "line_no")
-    # A book has at most as many such keys as its pages have lines / LEAST_SHARE, so each edge line meets a bounded number of them.
-    rest = keyed.where(F.col("ocr") & F.col("key").isNotNull()).join(often, ["doc_id", "id"], "left_anti")
-    other = often.select("doc_id", F.col("key").alias("_key")).where("_key is not null")
-    most = F.greatest(F.lit(1), F.floor(F.length("_key") * NEAR).cast("int"))
-    near = rest.join(other, "doc_id").where(F.abs(F.length("key") - F.length("_key")) <= most)
-    near = near.withColumn("_far", F.levenshtein("key", "_key", 12)).where((F.col("_far") >= 0) & (F.col("_far") <= most))
-    return exact.unionByName(near.select("doc_id", "pdf_page", "line_no")).distinct()
+    edges = keyed.where(F.col("edge") < EDGE_LINES).groupBy("id").agg(F.min("pdf_page").alias("_a"), F.max("pdf_page").alias("_b"))
+    twice = Bloom(edges.where("_a != _b"), "id")
+    often = keyed.where(twice.may_have(F.col("id"))).groupBy("id", "pdf_page").agg(F.min("edge").alias("edge"), F.max(F.struct("key", "doc_id")).alias("_k"))
+    often = often.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("edge") < EDGE_LINES).alias("at_edge"), F.max("_k").alias("_k"))
+    often = cut(often.where((F.col("n") >= LEAST_PAGES) & (F.col("at_edge") >= AT_EDGE)).select("id", "_k.doc_id", "_k.key"))
+    # A book's title may stand on a third of all pages: its lines are spread.
+    known = often.select("id", each_salt())
+    read = keyed.where("ocr").withColumn("_salt", salt())
+    running = Bloom(often, "id")
+    exact = read.where(running.may_have(F.col("id"))).join(known, ["id", "_salt"], "left_semi").select("doc_id", "pdf_page", "line_no")
+    return exact.unionByName(nearly(read.where(F.col("key").isNotNull()), often.where("key is not null"))).distinct()
+
+
+def nearly(read: DataFrame, often: DataFrame) -> DataFrame:
+    """Lines that one letter, and one more for every LETTERS_EACH, keeps from being a running line of their book.
+
+    They meet by a run of letters of the book that both have; only runs of running lines leave the scan.
+    """
+    errors = 1 + F.floor(F.length("_key") / LETTERS_EACH).cast("int")
+    named = often.select("doc_id", F.col("key").alias("_key"))
+    lengths = F.explode(F.array_distinct(F.array(F.length("_key") - errors, F.length("_key"), F.length("_key") + errors)))
+    known = cut(named.withColumn("_length", lengths).select("doc_id", "_key", F.explode(grams(F.col("_length"), F.col("_key"))).alias("gram")).distinct())
+    tried = read.select("doc_id", "pdf_page", "line_no", "key", F.explode(grams(F.length("key"), F.col("key"))).alias("gram"))
+    met = tried.where(Bloom(known, "gram").may_have(F.col("gram"))).join(known.withColumnRenamed("doc_id", "_doc"), "gram").where("doc_id = _doc and key != _key")
+    met = met.where(F.abs(F.length("key") - F.length("_key")) <= errors).select("doc_id", "pdf_page", "line_no", "key", "_key").distinct()
+    return met.where(F.levenshtein("key", "_key") <= errors).select("doc_id", "pdf_page", "line_no")
 
 
 def page_numbers(lines: DataFrame, pages: DataFrame) -> DataFrame:
@@ -208,8 +240,8 @@ def page_numbers(lines: DataFrame, pages: DataFrame) -> DataFrame:
     numbers = lines.where("what = 'number'").withColumn("_lag", F.col("pdf_page") - F.col("value"))
     common = numbers.groupBy("doc_id", "_lag").agg(F.count("*").alias("_n")).groupBy("doc_id").agg(F.max_by("_lag", F.struct("_n", -F.abs("_lag"))).alias("_usual"))
     digits = F.translate(F.lower("printed_label"), "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
-    labels = pages.where("printed_label is not null").select("doc_id", "pdf_page", F.try_to_number(digits, F.lit("9999")).cast("int").alias("_label")).groupBy("doc_id", "pdf_page").agg(F.max("_label").alias("_label"))
-    held = numbers.join(common, "doc_id").join(labels, ["doc_id", "pdf_page"], "left")
+    labels = pages.where("printed_label is not null").select("doc_id", "pdf_page", F.try_to_number(digits, F.lit("999999999")).cast("int").alias("_label")).groupBy("doc_id", "pdf_page").agg(F.max("_label").alias("_label"))
+    held = numbers.withColumn("_salt", salt()).join(common.withColumn("_salt", each_salt()), ["doc_id", "_salt"]).join(labels, ["doc_id", "pdf_page"], "left")
     small = (F.col("value") <= 60) & (F.col("pdf_page") <= 60) & (F.abs("_lag") <= 20)
     return held.where((F.abs(F.col("_lag") - F.col("_usual")) <= 3) | F.coalesce(F.col("value") == F.col("_label"), F.lit(False)) | small).select("doc_id", "pdf_page", "line_no")
 
@@ -268,7 +300,6 @@ def defects(pages: DataFrame) -> DataFrame:
     texts = pages.select("doc_id", "pdf_page", scanned().alias("ocr"), F.col("raw_text").alias("text"), "printed_label").where("doc_id is not null and pdf_page is not null and text is not null and ocr is not null")
     lines = texts.select("doc_id", "pdf_page", "ocr", "text").mapInPandas(read_lines, LINE_SCHEMA)
     lines = cut(lines)
-    books = pages.where("doc_id is not null").groupBy("doc_id").agg(F.approx_count_distinct("pdf_page").alias("pages"))
     words = cut(vocabulary(pages))
     misread = cut(misread_words(words))
     known = None
@@ -277,7 +308,7 @@ def defects(pages: DataFrame) -> DataFrame:
     read = texts.where("ocr").select("doc_id", "pdf_page", "text").mapInPandas(misread_reader(known), "doc_id string, pdf_page int, line_no int, word string")
     read = read.join(misread, "word", "left").where("word is null or printed is not null")
     tag = lambda df, kind: df.select("doc_id", "pdf_page", "line_no", F.lit(kind).alias("defect"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("printed"))
-    found = tag(running_lines(lines, books), "running_line").unionByName(tag(page_numbers(lines, texts), "page_number")).unionByName(tag(broken_words(lines, words), "hyphen_break"))
+    found = tag(running_lines(lines), "running_line").unionByName(tag(page_numbers(lines, texts), "page_number")).unionByName(tag(broken_words(lines, words), "hyphen_break"))
     return found.unionByName(read.select("doc_id", "pdf_page", "line_no", F.lit("misread").alias("defect"), "word", "printed")).distinct()
 
 
