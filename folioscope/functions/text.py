@@ -21,8 +21,13 @@ STOP_AR = (
 # What in a query asks for sources in English.
 ENGLISH_HINT = "الانجليز|الإنجليز|english"
 
+# White space as Unicode has it, for character classes; Java's own is ASCII.
+SPACES = r"\s\p{Z}\x1c-\x1f\x{85}"
+SPACE, NOT_SPACE = f"[{SPACES}]", f"[^{SPACES}]"
+# Blocks, digits, spellings and marks that normalization knows; the pattern of tokens that the recognizer makes of stray marks.
 ARABIC_CLASS = r"\x{600}-\x{6ff}\x{fb50}-\x{fdff}\x{fe70}-\x{fefc}"
 ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩"
+SHORT_LATIN, LONG_LATIN = "^[^A-Za-z0-9]*[A-Za-z]{1,3}[^A-Za-z0-9]*$", "[A-Za-z]{4,}"
 
 
 def normalize_search(text: Column) -> Column:
@@ -37,7 +42,7 @@ def normalize_search(text: Column) -> Column:
     t = F.regexp_replace(t, "[ً-ْٰـ]", "")
     t = F.translate(t, "أإآٱؤئةى", "ااااويهي")
     t = F.lower(F.regexp_replace(t, r"[\x{fffd}\p{Cc}\p{Cf}\p{Co}]", ""))
-    return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(t, f"{SPACE}+", " "))
 
 
 def normalize_lines(text: Column) -> Column:
@@ -91,7 +96,7 @@ def content_hash(derivation: Column, text: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """Additive stand-in for a tokenizer: a quarter of each word's characters, rounded up. 0 for null and empty text."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 0)
+    words = F.filter(F.split(text, f"{SPACE}+"), lambda w: F.length(w) > 0)
     return F.coalesce(F.aggregate(words, F.lit(0), lambda n, w: n + F.ceil(F.length(w) / 4).cast("int")), F.lit(0))
 
 
@@ -106,6 +111,26 @@ def search_tokens(text: Column) -> Column:
     return F.regexp_extract_all(folded, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def clean_fragments(text: Column) -> Column:
+    """Text without short Latin words that have no longer one beside them; the white space around them stays."""
+    parts = F.regexp_extract_all(text, F.lit(f"({SPACE}+|{NOT_SPACE}+)"), F.lit(1))
+
+    def kept(all_: Column) -> Column:
+        anchored = lambda i: (i >= 0) & F.coalesce(F.get(all_, F.greatest(i, F.lit(0))), F.lit("")).rlike(LONG_LATIN)
+        return F.array_join(F.filter(all_, lambda p, i: ~(p.rlike(SHORT_LATIN) & ~anchored(i - 2) & ~anchored(i + 2))), "")
+
+    # The lambda gives the parts a name, so that they are made once.
+    return F.get(F.transform(F.array(parts), kept), 0)
+
+
+def printed_label(text: Column, pattern: str, least: int, most: int, reviewed: Column | None = None) -> Column:
+    """Label of a page: the reviewed one, else the number that ``pattern`` finds in the first three lines, within the book's range."""
+    head = F.translate(F.array_join(F.slice(F.split(text, "\n"), 1, 3), " "), ARABIC_DIGITS, "0123456789")
+    number = F.regexp_extract(head, pattern, 1).try_cast("int")
+    parsed = F.when(number.between(least, most), number.cast("string"))
+    return parsed if reviewed is None else F.coalesce(F.nullif(reviewed, F.lit("")), parsed)
+
+
 def display_text(reviewed: Column, raw: Column) -> Column:
     return F.when(F.length(F.coalesce(reviewed, F.lit(""))) > 0, reviewed).otherwise(raw)
 

@@ -10,22 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import token_estimate
+from ..functions.text import SPACE, token_estimate
 
 CAP = 600
-SENTENCE = r"(?<=[.!?؟…:])\s+"
+# What parts sentences, and what ends one.
+SENTENCE = f"(?<=[.!?؟…:]){SPACE}+"
 ENDS = r"[.!?؟…:]['\"”’)]*$"
 
 
 def units(text: Column, cap: int = CAP) -> Column:
     """Array of (text, tokens, alone, first): ``alone`` units come from a split line, ``first`` begins such a line or an oversized sentence."""
-    lines = F.filter(F.transform(F.split(text, r"\R"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, r"\R"), lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")), lambda x: x != "")
 
     def unit(t: Column, alone: bool, first: Column, last: Column) -> Column:
         return F.struct(t.alias("text"), token_estimate(t).alias("tokens"), F.lit(alone).alias("alone"), first.alias("first"), last.alias("last"))
 
     def of_sentence(s: Column, first: Column, last: Column) -> Column:
-        words = F.filter(F.split(s, r"\s+"), lambda w: w != "")
+        words = F.filter(F.split(s, f"{SPACE}+"), lambda w: w != "")
         parts = F.transform(words, lambda w, i: unit(w, True, i == 0, last & (i == F.size(words) - 1)))
         return F.when(token_estimate(s) <= cap, F.array(unit(s, True, first, last))).otherwise(parts)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import arabic_ratio, replacement_count
+from ..functions.text import NOT_SPACE, arabic_ratio, replacement_count
 
 # Thresholds and reasons of the gates.
 MIN_CHARS, MAX_REPLACED = 50, 0.02
@@ -14,7 +14,7 @@ OCR_REASONS = ["blank_or_no_text", "too_short", "high_replacement_ratio"]
 
 
 def blank(text: Column) -> Column:
-    return ~F.coalesce(text, F.lit("")).rlike(r"(?U)[^\s]")
+    return ~F.coalesce(text, F.lit("")).rlike(NOT_SPACE)
 
 
 def page_gate(text: Column, reviewed: Column | None = None) -> tuple[Column, Column]:

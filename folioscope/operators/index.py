@@ -1,21 +1,22 @@
 """Inverted index of passages and BM25 ranking of batches of queries.
 
-Postings are one row per (term, passage). Queries join them by term; only the query terms' postings are shuffled by query.
+Postings are stored by term. Queries read their terms' postings only, and only these are shuffled by query.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import search_tokens
+from ..functions.text import SPACE, search_tokens
 from .common import small
 
 K1, B = 1.2, 0.75
 FLOOR = 1e-6
 POOL = 100
 MAX_TERMS, MAX_TERM_CHARS = 32, 64
+BUCKETS = 16
 
 
 def tokenized(passages: DataFrame, pid: str, text: str) -> DataFrame:
@@ -24,12 +25,6 @@ def tokenized(passages: DataFrame, pid: str, text: str) -> DataFrame:
     return tokens.withColumn("dl", F.size("tokens"))
 
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """(term, pid, tf, dl, positions)."""
-    each = tokens.select("pid", "dl", F.posexplode("tokens").alias("pos", "term"))
-    return each.groupBy("term", "pid", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-
-
 def corpus_stats(tokens: DataFrame) -> DataFrame:
     return tokens.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
@@ -39,9 +34,10 @@ def doc_frequency(tokens: DataFrame) -> DataFrame:
 
 
 def phrases(query: Column) -> Column:
-    """Quoted terms of a query: runs of non-space, quotes stripped at the ends, at most MAX_TERMS, each cut to MAX_TERM_CHARS."""
-    terms = F.transform(F.split(query, r"\s+"), lambda t: F.regexp_replace(t, '^"+|"+$', ""))
-    return F.slice(F.filter(F.transform(terms, lambda t: F.substr(t, F.lit(1), F.lit(MAX_TERM_CHARS))), lambda t: t != ""), 1, MAX_TERMS)
+    """Quoted terms of a query: runs of non-space, quotes stripped at the ends; those over MAX_TERM_CHARS (inner quotes doubled) are dropped, then the first MAX_TERMS stay."""
+    terms = F.transform(F.split(query, f"{SPACE}+"), lambda t: F.regexp_replace(t, '^"+|"+$', ""))
+    usable = lambda t: (t != "") & (F.length(F.replace(t, F.lit('"'), F.lit('""'))) <= MAX_TERM_CHARS)
+    return F.slice(F.filter(terms, usable), 1, MAX_TERMS)
 
 
 def query_phrases(queries: DataFrame, qid: str, text: str) -> DataFrame:
@@ -50,28 +46,64 @@ def query_phrases(queries: DataFrame, qid: str, text: str) -> DataFrame:
     return each.where("phrase != ''").groupBy("qid", "phrase").agg(F.count("*").alias("weight"))
 
 
-def phrase_hits(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(phrase, pid, dl, tf): adjacent tokens. Only tokens that begin a phrase leave the scan, with as many tokens after them as the longest phrase has."""
-    first = wanted.select("phrase").distinct().withColumn("_words", F.split("phrase", " "))
-    first = first.select("phrase", "_words", F.element_at("_words", 1).alias("term"), F.size("_words").alias("_len"))
-    longest = first.agg(F.max("_len")).collect()[0][0] or 1
-    each = tokens.select("pid", "dl", "tokens", F.posexplode("tokens").alias("pos", "term")).select("pid", "dl", "term", F.slice("tokens", F.col("pos") + 1, F.lit(longest)).alias("_ahead"))
-    hits = each.join(small(first), "term").where(F.slice("_ahead", F.lit(1), F.col("_len")) == F.col("_words"))
-    return hits.groupBy("phrase", "pid", "dl").agg(F.count("*").alias("tf"))
+class Index:
+    """Stored inverted index in a folder: ``postings`` (term, pid, pos), one row per occurrence, by ``bucket`` of the term; ``lengths`` (pid, dl) of every passage.
+
+    The rows of a bucket are sorted by term and passage, so a query reads its terms' buckets and row groups only. A frequent term
+    is spread over as many files as it needs.
+    """
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.postings = spark.read.schema("term string, pid STRING, pos int, bucket int".replace("STRING", spark.read.parquet(f"{root}/lengths").schema["pid"].dataType.simpleString())).parquet(f"{root}/postings")
+        self.lengths = spark.read.parquet(f"{root}/lengths")
+
+    @staticmethod
+    def write(tokens: DataFrame, root: str) -> None:
+        each = tokens.select(F.posexplode("tokens").alias("pos", "term"), "pid").select("term", "pid", "pos", bucket_of(F.col("term")).alias("bucket"))
+        each.repartitionByRange("bucket", "term", "pid").sortWithinPartitions("bucket", "term", "pid", "pos").write.partitionBy("bucket").parquet(f"{root}/postings")
+        tokens.select("pid", "dl").write.parquet(f"{root}/lengths")
+
+    @classmethod
+    def build(cls, passages: DataFrame, pid: str, text: str, root: str) -> Index:
+        """Index of all passages in a new folder."""
+        cls.write(tokenized(passages, pid, text), root)
+        return cls(passages.sparkSession, root)
+
+    def updated(self, passages: DataFrame, pid: str, text: str, removed: DataFrame, root: str) -> Index:
+        """The index in a new folder with these passages instead of their old versions, and without those in ``removed`` (pid)."""
+        new = tokenized(passages, pid, text)
+        gone = new.select("pid").unionByName(removed.select("pid")).distinct()
+        old, spark = self.postings.join(gone, "pid", "left_anti"), passages.sparkSession
+        each = new.select(F.posexplode("tokens").alias("pos", "term"), "pid").select("term", "pid", "pos", bucket_of(F.col("term")).alias("bucket"))
+        old.unionByName(each).repartitionByRange("bucket", "term", "pid").sortWithinPartitions("bucket", "term", "pid", "pos").write.partitionBy("bucket").parquet(f"{root}/postings")
+        self.lengths.join(gone, "pid", "left_anti").unionByName(new.select("pid", "dl")).write.parquet(f"{root}/lengths")
+        return Index(spark, root)
+
+    def hits(self, wanted: DataFrame) -> DataFrame:
+        """(phrase, pid, tf): occurrences of phrases, whose words stand side by side. Words of a phrase meet where its first would stand."""
+        parts = wanted.select("phrase").distinct().select("phrase", F.posexplode(F.split("phrase", " ")).alias("i", "term"), F.size(F.split("phrase", " ")).alias("len"))
+        parts = parts.withColumn("bucket", bucket_of(F.col("term")))
+        found = self.postings.join(small(parts), ["bucket", "term"]).select("phrase", "len", "pid", (F.col("pos") - F.col("i")).alias("at"))
+        single = found.where("len = 1").select("phrase", "pid")
+        longer = found.where("len > 1").groupBy("phrase", "len", "pid", "at").agg(F.count("*").alias("n")).where("n = len").select("phrase", "pid")
+        return single.unionByName(longer).groupBy("phrase", "pid").agg(F.count("*").alias("tf"))
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def bm25(passages: DataFrame, queries: DataFrame, pid: str, text: str, qid: str, query: str) -> DataFrame:
+def bm25(index: Index, queries: DataFrame, qid: str, query: str) -> DataFrame:
     """(qid, pid, score): negative, the best least; rounded to 9 decimals, since the order of addition isn't fixed."""
-    tokens = tokenized(passages, pid, text).persist()
     wanted = query_phrases(queries, qid, query)
-    hits = phrase_hits(tokens, wanted)
+    hits = index.hits(wanted)
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
     # One row of corpus statistics.
-    stats = F.broadcast(corpus_stats(tokens))
+    stats = F.broadcast(index.lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = df.join(stats).select("phrase", "avgdl", F.when(idf <= 0, FLOOR).otherwise(idf).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    parts = hits.join(weighed, "phrase").select("phrase", "pid", part.alias("part"))
+    parts = hits.join(weighed, "phrase").join(index.lengths, "pid").select("phrase", "pid", part.alias("part"))
     scored = parts.join(small(wanted), "phrase").groupBy("qid", "pid").agg(F.sum(F.col("weight") * F.col("part")).alias("s"))
     return scored.select("qid", "pid", F.round(-F.col("s"), 9).alias("score"))
 

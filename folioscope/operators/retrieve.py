@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.text import language_hint, normalize_search, strip_stopwords
+
 RRF_K = 60
 PER_DOC = 2
+MOST_HITS, QUERY_CHARS = 10, 500
 
 
 def fuse(keyword: DataFrame, vector: DataFrame) -> DataFrame:
@@ -76,7 +79,60 @@ def hybrid(passages: DataFrame, keyword: DataFrame, vector: DataFrame, where: Co
     return diverse(fold_duplicates(hits.where(where) if where is not None else hits), k)
 
 
-def hit_rate(retrieved: DataFrame, evidence: DataFrame, scored: DataFrame) -> DataFrame:
-    """(kind, n, hits, rate) over scored cases (qid, kind): a hit retrieves any (doc_id, pdf_page) of its evidence."""
+def glossary(aliases: DataFrame) -> DataFrame:
+    """(key, terms) as they are held against queries: keys and terms normalized, keys that begin with an underscore are notes."""
+    rows = aliases.where(~F.col("key").startswith("_"))
+    return rows.select(normalize_search(F.col("key")).alias("key"), F.transform("terms", normalize_search).alias("terms"))
+
+
+def asked(queries: DataFrame, aliases: DataFrame, hints: dict[str, str] | None = None) -> DataFrame:
+    """Queries (qid, query, and lang, region, topic, doc_ids, k as they are given) with what the keyword side searches for.
+
+    ``bag``: the normalized query without stop words, and the terms of the aliases it names (a term that comes twice counts
+    twice). ``lang`` is the one asked for, else the one that the query hints at (``hinted``). ``expansions``: the aliases' keys.
+    """
+    normal = queries.withColumn("_normal", normalize_search(F.substr("query", F.lit(1), F.lit(QUERY_CHARS))))
+    applied = expand_aliases(normal.select("qid", F.col("_normal").alias("query")), aliases)
+    applied = applied.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("key", "terms"))).alias("_all"))
+    hint = language_hint(F.col("query"), hints)
+    rows = normal.join(applied, "qid", "left").withColumn("hinted", F.col("lang").isNull() & hint.isNotNull())
+    extra = F.array_join(F.flatten(F.transform(F.coalesce("_all", F.array().cast("array<struct<key:string,terms:array<string>>>")), lambda x: x["terms"])), " ")
+    keys = F.transform(F.coalesce("_all", F.array().cast("array<struct<key:string,terms:array<string>>>")), lambda x: x["key"])
+    bag = F.trim(F.concat(strip_stopwords(F.col("_normal")), F.lit(" "), extra))
+    return rows.select(*[c for c in queries.columns if c != "lang"], F.coalesce("lang", hint).alias("lang"), "hinted", bag.alias("bag"), keys.alias("expansions"))
+
+
+def own_filters() -> Column:
+    """As ``search_filter``, with each query's own parameters (columns asked_lang, asked_region, asked_topic, asked_docs) beside the passage's."""
+    given = lambda name: F.length(F.coalesce(F.col(name), F.lit(""))) > 0
+    same = lambda name: F.lower(F.coalesce(F.col(name), F.lit(""))) == F.lower(f"asked_{name}")
+    out = (F.coalesce(F.size("asked_docs"), F.lit(0)) <= 0) | F.array_contains("asked_docs", F.col("doc_id"))
+    for name in ("region", "topic"):
+        out = out & (~given(f"asked_{name}") | same(name))
+    return out & (~given("asked_lang") | F.coalesce(F.col("lang") == F.col("asked_lang"), F.lit(False)))
+
+
+def search(queries: DataFrame, passages: DataFrame, keyword: DataFrame, vector: DataFrame) -> DataFrame:
+    """Hits (qid, place, and the passage's columns, alternates) of a batch of ``asked`` queries, each with its own filters and k.
+
+    ``keyword`` and ``vector`` are the ranked pools: filters come after they are cut.
+    """
+    own = queries.select("qid", F.col("lang").alias("asked_lang"), F.col("region").alias("asked_region"), F.col("topic").alias("asked_topic"), F.col("doc_ids").alias("asked_docs"), "k")
+    hits = fuse(keyword, vector).join(passages, "pid").join(own, "qid").where(own_filters()).drop("asked_lang", "asked_region", "asked_topic", "asked_docs")
+    return diverse(fold_duplicates(hits), MOST_HITS).where(F.col("place") <= F.col("k")).drop("k")
+
+
+def answers(queries: DataFrame, hits: DataFrame, vector: DataFrame) -> DataFrame:
+    """(qid, mode, warnings, expansions, n_results): one row per query. The mode is keyword_only where the query has no vector hits."""
+    found = hits.groupBy("qid").agg(F.count("*").alias("n_results"), F.max(F.col("text_truncated").cast("int")).alias("_cut"))
+    rows = queries.join(found, "qid", "left").join(vector.select("qid").distinct().withColumn("_vector", F.lit(True)), "qid", "left")
+    alone = F.col("_vector").isNull()
+    warnings = F.array_compact(F.array(F.when(F.col("hinted"), "language_hint"), F.when(alone, "keyword_only"), F.when(F.col("n_results").isNull(), "no_match"), F.when(F.col("_cut") == 1, "truncated")))
+    return rows.select("qid", F.when(alone, "keyword_only").otherwise("hybrid").alias("mode"), warnings.alias("warnings"), "expansions", F.coalesce("n_results", F.lit(0)).alias("n_results"))
+
+
+def hit_rate(retrieved: DataFrame, evidence: DataFrame, cases: DataFrame, traps: list[str] | None = None) -> DataFrame:
+    """(kind, n, hits, rate) over the cases (qid, kind): a hit retrieves any (doc_id, pdf_page) of its evidence. Kinds among ``traps`` aren't scored."""
     hit = retrieved.join(evidence, ["qid", "doc_id", "pdf_page"], "left_semi").select("qid").distinct().withColumn("_hit", F.lit(1))
+    scored = cases.where(~F.col("kind").isin(traps)) if traps else cases
     return scored.join(hit, "qid", "left").groupBy("kind").agg(F.count("*").alias("n"), F.count("_hit").alias("hits"), F.round(F.count("_hit") / F.count("*"), 6).alias("rate"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,27 @@ def parse_pages(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def selection(demo: list[tuple[str, int]] | None = None, docs: str | None = None, pages: str | None = None, everything: bool = False) -> tuple[list[tuple[str, int, int]], list[str]]:
+    """(ranges, whole documents) of exactly one form: given anchor pages, names of documents, ``pages`` as above, or all; no names at all stand for all."""
+    if sum([demo is not None, docs is not None, pages is not None, everything]) != 1:
+        raise ValueError("choose exactly one of demo, docs, pages, everything")
+    if demo is not None:
+        return [(doc, page, page) for doc, page in demo], []
+    if docs is not None:
+        names = [x.strip() for x in docs.split(",") if x.strip()]
+        if not names:
+            raise ValueError("no document is named")
+        return [], names
+    return (parse_pages(pages), []) if pages is not None else ([], [])
+
+
+def selected(table: DataFrame, ranges: list[tuple[str, int, int]], docs: list[str]) -> DataFrame:
+    """Pages of a selection()."""
+    if ranges:
+        return select_pages(table, table.sparkSession.createDataFrame(ranges, "doc_id string, first int, last int"))
+    return table.where(F.col("doc_id").isin(docs)) if docs else table
+
+
 def select_pages(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     """Pages within any of the (doc_id, first, last) ranges, once each."""
     wanted = ranges.select("doc_id", F.explode(F.sequence("first", "last")).alias("pdf_page")).distinct()
@@ -44,7 +65,8 @@ class SearchParams:
     region: str | None = None
     topic: str | None = None
     lang: str | None = None
-    warnings: list[str] = field(default_factory=list)
+    pid: str | None = None
+    context_chars: int = 600
 
     def __post_init__(self) -> None:
         if not 1 <= len(self.query) <= 500:
@@ -55,3 +77,7 @@ class SearchParams:
             raise ValueError("at most 10 documents")
         if any(len(x or "") > 80 for x in (self.region, self.topic)):
             raise ValueError("region and topic have at most 80 characters")
+        if self.pid is not None and not 1 <= len(self.pid) <= 200:
+            raise ValueError("a passage id has 1 to 200 characters")
+        if not 0 <= self.context_chars <= 2000:
+            raise ValueError("context must be 0 to 2000 characters")

@@ -16,6 +16,8 @@ from pyspark.sql.window import Window as W
 
 POOL = 300
 BLOCK = 8192
+#: Queries of a block that are multiplied at once: AT_ONCE x BLOCK doubles, 16 MB.
+AT_ONCE = 256
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -28,12 +30,22 @@ def best_of_block(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame
         if rows.empty or queries.empty:
             return none
         rows = rows.sort_values("pid")
-        q = matrix(queries["vector"])
+        q, m, pids, qids = matrix(queries["vector"]), matrix(rows["vector"]).T, rows["pid"].to_numpy(), queries["qid"].to_numpy()
         norm = np.linalg.norm(q, axis=1, keepdims=True)
-        sims = np.round((q / np.where(norm == 0, 1, norm)) @ matrix(rows["vector"]).T, 9)
-        keep = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        pids = rows["pid"].to_numpy()
-        return pd.DataFrame({"qid": np.repeat(queries["qid"].to_numpy(), keep.shape[1]), "pid": pids[keep].ravel(), "sim": np.take_along_axis(sims, keep, axis=1).ravel()})
+        q /= np.where(norm == 0, 1, norm)
+        out = []
+        for at in range(0, len(q), AT_ONCE):
+            sims = np.round(q[at : at + AT_ONCE] @ m, 9)
+            # The k-th best bounds what can be kept; all that tie with it stay until the order by pid decides.
+            least = -np.partition(-sims, k - 1, axis=1)[:, k - 1] if k < sims.shape[1] else np.full(len(sims), -np.inf)
+            i, j = np.nonzero(sims >= least[:, None])
+            order = np.lexsort((j, -sims[i, j], i))
+            i, j = i[order], j[order]
+            first = np.searchsorted(i, np.arange(len(sims)))
+            kept = np.arange(len(i)) - first[i] < k
+            i, j = i[kept], j[kept]
+            out.append(pd.DataFrame({"qid": qids[at + i], "pid": pids[j], "sim": sims[i, j]}))
+        return pd.concat(out)
 
     return best
 

@@ -36,3 +36,8 @@ def write_inventory(pages: DataFrame, path: str) -> None:
 def write_front_matter(pages: DataFrame, path: str, first: int = 3) -> None:
     """Text files of each document's first pages, a folder per document."""
     pages.where(F.col("pdf_page") <= first).select("doc_id", F.col("raw_text").alias("value")).where("value is not null").write.mode("errorifexists").partitionBy("doc_id").text(path)
+
+
+def write_trace(results: DataFrame, path: str) -> None:
+    """Trace of an evaluation: one JSON line per retrieved passage, in order of query and place, non-ASCII as it is."""
+    results.repartitionByRange("qid").sortWithinPartitions("qid", "place").write.mode("errorifexists").json(path)

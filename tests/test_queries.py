@@ -20,9 +20,8 @@ def test_both_engines_agree(spark, other, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(oracle_sql())))
-def test_runs_without_sql(spark, name):
-    assert QUERIES[name](spark, DATA).count() >= 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(oracle_sql())
 
 
 def test_entry(spark):
