@@ -33,6 +33,7 @@ LEAST_PAGES = 30
 #: Lines that a kind must have: "mostly".
 MOST = 0.7
 EDGE = 2
+AT_ONCE = 500_000
 STATISTICS = ["n_words", "mean_word", "symbol_ratio", "ended_lines", "common_share", "digit_ratio", "short_share", "mean_line", "table_lines", "item_lines", "mean_token", "ascii_marks", "tripled", "arabic_ratio"]
 #: Least spread of a statistic (a standard deviation), where a language's pages hardly differ.
 FLOORS = {"n_words": 20.0, "mean_word": 0.2, "mean_line": 5.0, "mean_token": 1.0, "ascii_marks": 0.02, "short_share": 0.02, "common_share": 0.02, "table_lines": 0.05, "item_lines": 0.05}
@@ -157,9 +158,10 @@ def measure(texts: list[str], words_of: dict[str, list[str]]) -> pd.DataFrame:
 def reader(words_of: dict[str, list[str]], ids: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                measured = measure(batch["_text"].tolist(), words_of)
-                yield pd.concat([batch[ids].reset_index(drop=True), measured], axis=1)
+            # As many texts at once as have AT_ONCE characters: the arrays over them take some 100 bytes a character.
+            part = batch["_text"].str.len().cumsum() // AT_ONCE
+            for _, some in batch.groupby(part, sort=False):
+                yield pd.concat([some[ids].reset_index(drop=True), measure(some["_text"].tolist(), words_of)], axis=1)
 
     return read
 
