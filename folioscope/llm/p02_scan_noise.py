@@ -52,8 +52,8 @@ BREAK = re.compile(r"[-‐‑¬\xad][ \t]*\n")
 END = re.compile(r"([^\W\d_]+)([-‐‑¬\xad])\s*$")
 BEGIN = re.compile(r"\s*([^\W\d_]+)")
 NUMBER = re.compile(r"[\W_]*(?:(\d{1,9})|([ivxlcIVXLC]{1,7}))[\W_]*$")
-NOT_KEY = re.compile(r"[\W_]+")
-EDGE_NUMBER = re.compile(r"^[\W_]*\d+(?!\w)|(?<!\w)\d+[\W_]*$")
+NOT_KEY = re.compile(r"(?:[^\w\n]|_)+")
+EDGE_NUMBER = re.compile(r"^(?:[^\w\n]|_)*\d+(?!\w)|(?<!\w)\d+(?:[^\w\n]|_)*$", re.MULTILINE)
 ARABIC, LATIN = re.compile("[\u0620-\u06ff\ufb50-\ufdff\ufe70-\ufefc]"), re.compile(r"[A-Za-z]")
 FRAGMENT = re.compile(r"^[A-Za-z]{1,4}[.,،؛;:]?$")
 LONG_LATIN = re.compile(r"[A-Za-zÀ-ɏ]{4}")
@@ -155,35 +155,43 @@ def misread_words(words: DataFrame) -> DataFrame:
     return single.unionByName(grouped).groupBy("word").agg(F.max_by("printed", F.struct("total", "printed")).alias("printed"))
 
 
-def key_of(line: str) -> str:
-    return NOT_KEY.sub("", EDGE_NUMBER.sub("", line)).lower()
+def keys_of(text: str) -> list[str]:
+    """What each line is compared by: letters and digits in one case, without a number that stands by itself at an end."""
+    return NOT_KEY.sub("", EDGE_NUMBER.sub("", text)).lower().split("\n")
 
 
-LINE_SCHEMA = "doc_id string, pdf_page int, what string, line_no int, edge int, id long, key string, other string, value int"
+LINE_SCHEMA = "doc_id string, pdf_page int, ocr boolean, ids array<long>, nos array<int>, edges array<int>, near array<struct<id:long, line_no:int, key:string>>, numbers array<struct<line_no:int, value:int>>, hyphens array<struct<line_no:int, cut:string, heads:string>>"
 
 
 def read_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Small rows of the pages: lines that may run (``other`` is 'ocr' on scanned pages), numbers at edges, and words cut at line ends with what follows."""
+    """One small row per page: ids of its lines by book and key, with their places; and of scanned pages the keys of lines at edges, numbers at edges, and words cut at line ends with what follows."""
     for batch in batches:
         out = []
         for doc, page, ocr, text in zip(batch["doc_id"], batch["pdf_page"], batch["ocr"], batch["text"], strict=True):
             if junk(text):
                 continue
-            lines = [(i + 1, x) for i, x in enumerate(composed(text).split("\n")) if x and not x.isspace()]
-            for k, (no, line) in enumerate(lines):
-                edge = min(k, len(lines) - 1 - k)
+            text = composed(text)
+            keys, lines = keys_of(text), [(i, x) for i, x in enumerate(text.split("\n")) if x and not x.isspace()]
+            ids, nos, edges, near, numbers, hyphens = [], [], [], [], [], []
+            for k, (i, line) in enumerate(lines):
+                edge, key = min(k, len(lines) - 1 - k), keys[i]
                 number = NUMBER.match(line) if edge <= 1 and ocr else None
                 if number:
-                    out.append((doc, page, "number", no, edge, None, None, None, int(number[1]) if number[1] else roman(number[2])))
+                    numbers.append({"line_no": i + 1, "value": int(number[1]) if number[1] else roman(number[2])})
                     continue
-                key = key_of(line)
                 if len(key) >= LEAST_KEY:
-                    out.append((doc, page, "line", no, edge, xxhash.xxh3_64_intdigest(f"{doc}\x00{key}") - (1 << 63), key if edge < 2 else None, "ocr" if ocr else "", None))
+                    id_ = xxhash.xxh3_64_intdigest(f"{doc}\x00{key}") - (1 << 63)
+                    ids.append(id_)
+                    nos.append(i + 1)
+                    edges.append(edge)
+                    if edge < 2:
+                        near.append({"id": id_, "line_no": i + 1, "key": key})
                 if ocr and line.rstrip()[-1] in MARKS_AT_END and (cut_ := END.search(line)):
                     heads = [m[1] for _, x in lines[k + 1 : k + 4] if (m := BEGIN.match(x))]
-                    out.append((doc, page, "hyphen", no, edge, None, cut_[1].lower() + cut_[2], " ".join(h.lower() for h in heads), None))
+                    hyphens.append({"line_no": i + 1, "cut": cut_[1].lower() + cut_[2], "heads": " ".join(h.lower() for h in heads)})
+            out.append((doc, page, ocr, ids, nos, edges, near, numbers, hyphens))
         if out:
-            yield pd.DataFrame(out, columns=["doc_id", "pdf_page", "what", "line_no", "edge", "id", "key", "other", "value"]).astype({"value": "Int32", "id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "pdf_page", "ocr", "ids", "nos", "edges", "near", "numbers", "hyphens"])
 
 
 def salt() -> Column:
@@ -206,18 +214,23 @@ def running_lines(lines: DataFrame) -> DataFrame:
     ``id`` is of book and key. Keys at the edges of two pages are counted first; of all other lines only those with such a key
     leave the scan, by a Bloom filter of bounded size, and are counted exactly.
     """
-    keyed = lines.where("what = 'line'").select("doc_id", "id", "pdf_page", "line_no", "edge", "key", (F.col("other") == "ocr").alias("ocr"))
+    places = F.explode(F.arrays_zip("ids", "nos", "edges")).alias("x")
+    keyed = lines.select("doc_id", "pdf_page", "ocr", places).select("doc_id", "pdf_page", "ocr", F.col("x.ids").alias("id"), F.col("x.nos").alias("line_no"), F.col("x.edges").alias("edge"))
+    near = lines.select("doc_id", "pdf_page", "ocr", F.explode("near").alias("x")).select("doc_id", "pdf_page", "ocr", "x.*")
     edges = keyed.where(F.col("edge") < EDGE_LINES).groupBy("id").agg(F.min("pdf_page").alias("_a"), F.max("pdf_page").alias("_b"))
     twice = Bloom(edges.where("_a != _b"), "id")
-    often = keyed.where(twice.may_have(F.col("id"))).groupBy("id", "pdf_page").agg(F.min("edge").alias("edge"), F.max(F.struct("key", "doc_id")).alias("_k"))
-    often = often.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("edge") < EDGE_LINES).alias("at_edge"), F.max("_k").alias("_k"))
-    often = cut(often.where((F.col("n") >= LEAST_PAGES) & (F.col("at_edge") >= AT_EDGE)).select("id", "_k.doc_id", "_k.key"))
+    often = keyed.where(twice.may_have(F.col("id"))).groupBy("id", "pdf_page").agg(F.min("edge").alias("edge"))
+    often = often.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("edge") < EDGE_LINES).alias("at_edge"))
+    often = cut(often.where((F.col("n") >= LEAST_PAGES) & (F.col("at_edge") >= AT_EDGE)).select("id"))
     # A book's title may stand on a third of all pages: its lines are spread.
     known = often.select("id", each_salt())
-    read = keyed.where("ocr").withColumn("_salt", salt())
     running = Bloom(often, "id")
-    exact = read.where(running.may_have(F.col("id"))).join(known, ["id", "_salt"], "left_semi").select("doc_id", "pdf_page", "line_no")
-    return exact.unionByName(nearly(read.where(F.col("key").isNotNull()), often.where("key is not null"))).distinct()
+    passed = running.may_have(F.col("id"))
+    exact = keyed.where(F.col("ocr") & passed).withColumn("_salt", salt()).join(known, ["id", "_salt"], "left_semi").select("doc_id", "pdf_page", "line_no")
+    at_edges = near.withColumn("_passed", passed).withColumn("_salt", salt())
+    named = at_edges.where("_passed").join(known, ["id", "_salt"], "left_semi").groupBy("id").agg(F.max("doc_id").alias("doc_id"), F.max("key").alias("key"))
+    others = at_edges.where("ocr and not _passed").drop("_salt").unionByName(at_edges.where("ocr and _passed").join(known, ["id", "_salt"], "left_anti").drop("_salt"))
+    return exact.unionByName(nearly(others, named)).distinct()
 
 
 def nearly(read: DataFrame, often: DataFrame) -> DataFrame:
@@ -237,7 +250,7 @@ def nearly(read: DataFrame, often: DataFrame) -> DataFrame:
 
 def page_numbers(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """Numbers at edges whose distance from pdf_page is within 3 of the book's commonest, or that are the printed label."""
-    numbers = lines.where("what = 'number'").withColumn("_lag", F.col("pdf_page") - F.col("value"))
+    numbers = lines.select("doc_id", "pdf_page", F.explode("numbers").alias("x")).select("doc_id", "pdf_page", "x.*").withColumn("_lag", F.col("pdf_page") - F.col("value"))
     common = numbers.groupBy("doc_id", "_lag").agg(F.count("*").alias("_n")).groupBy("doc_id").agg(F.max_by("_lag", F.struct("_n", -F.abs("_lag"))).alias("_usual"))
     digits = F.translate(F.lower("printed_label"), "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
     labels = pages.where("printed_label is not null").select("doc_id", "pdf_page", F.try_to_number(digits, F.lit("999999999")).cast("int").alias("_label")).groupBy("doc_id", "pdf_page").agg(F.max("_label").alias("_label"))
@@ -248,7 +261,7 @@ def page_numbers(lines: DataFrame, pages: DataFrame) -> DataFrame:
 
 def broken_words(lines: DataFrame, words: DataFrame) -> DataFrame:
     """(doc_id, pdf_page, line_no): line ends inside a word."""
-    cuts = lines.where("what = 'hyphen'").select("doc_id", "pdf_page", "line_no", F.expr("left(key, length(key) - 1)").alias("left"), F.right("key", F.lit(1)).alias("mark"), F.split("other", " ").alias("heads"))
+    cuts = lines.select("doc_id", "pdf_page", F.explode("hyphens").alias("x")).select("doc_id", "pdf_page", "x.line_no", F.expr("left(x.cut, length(x.cut) - 1)").alias("left"), F.right("x.cut", F.lit(1)).alias("mark"), F.split("x.heads", " ").alias("heads"))
     soft = cuts.where(F.col("mark").isin(*SOFT)).select("doc_id", "pdf_page", "line_no")
     hard = cuts.where(F.col("mark").isin(*HYPHENS))
     heads = hard.select("doc_id", "pdf_page", "line_no", "left", F.posexplode("heads").alias("at", "right"))
