@@ -40,6 +40,8 @@ TWOFOLD = 2
 ROUNDS = 2
 #: Words whose scores a task keeps, to look them up.
 SCORES_HELD = 100_000
+#: Lines whose best repairs a task keeps.
+REPAIRS_HELD = 20_000
 # The encodings that text is decoded with by mistake, and those that it was written in.
 WRONG = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1256", "iso8859-15"]
 RIGHT = ["cp1256", "cp1252", "iso8859-6"]
@@ -102,6 +104,7 @@ class Model:
         self.margin = LEAST_MARGIN
         self.quick: list = []
         self.scores: dict[str, float] = {}
+        self.repairs: dict[str, tuple[float, list[str], str]] = {}
 
     def codes(self, text: str) -> np.ndarray:
         raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -276,7 +279,12 @@ def repair(text: str, model: Model) -> tuple[str, list[str]]:
         if line.isascii() or len(line) < 2:
             continue
         for _ in range(ROUNDS):  # a line may hold stretches of several chains
-            gain, used, new = best_repair(line, model)
+            # Titles and notices come again on page after page.
+            if line not in model.repairs:
+                if len(model.repairs) >= REPAIRS_HELD:
+                    model.repairs.clear()
+                model.repairs[line] = best_repair(line, model)
+            gain, used, new = model.repairs[line]
             if gain < model.margin:
                 break
             chains += used
