@@ -14,9 +14,11 @@ count once; without any clean page nothing is accepted.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, reduce
+from itertools import repeat
+from operator import and_, or_
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,10 @@ TWOFOLD = 2
 ROUNDS = 2
 #: Words whose scores a task keeps, to look them up.
 SCORES_HELD = 100_000
+#: Words over this length aren't kept.
+LONG_WORD = 64
+#: Characters of lines that are tried together; a longer line is tried by itself.
+TOGETHER = 20_000
 #: Lines whose best repairs a task keeps.
 REPAIRS_HELD = 20_000
 # The encodings that text is decoded with by mistake, and those that it was written in.
@@ -63,12 +69,32 @@ def bytes_of(encoding: str) -> dict[str, int]:
 
 
 @cache
-def sequences(encoding: str) -> tuple[re.Pattern, dict[str, int]]:
-    """UTF-8 sequences as this encoding shows them. Lost bytes are U+FFFD."""
+def sequences(encoding: str) -> tuple[re.Pattern, dict[str, int], dict[int, int]]:
+    """UTF-8 sequences as this encoding shows them, and its bytes by character and by code point. Lost bytes are U+FFFD."""
     of = bytes_of(encoding)
     chars = lambda low, high: "".join(re.escape(c) for c, b in of.items() if low <= b <= high)
     rest = f"[{chars(0x80, 0xBF)}�]"
-    return re.compile(f"(?:[{chars(0xC2, 0xDF)}]{rest}|[{chars(0xE0, 0xEF)}]{rest}{{2}}|[{chars(0xF0, 0xF4)}]{rest}{{3}})+"), of
+    return re.compile(f"((?:[{chars(0xC2, 0xDF)}]{rest}|[{chars(0xE0, 0xEF)}]{rest}{{2}}|[{chars(0xF0, 0xF4)}]{rest}{{3}})+)"), of, {10: 10} | {ord(c): b for c, b in of.items()}
+
+
+@cache
+def sequence_marks() -> tuple[dict[str, int], dict[str, int]]:
+    """For characters that begin a UTF-8 sequence, and for those that go on one: the encodings in which they do, as bits."""
+    first, others = defaultdict(int), defaultdict(int)
+    for k, encoding in enumerate(WRONG):
+        for c, b in bytes_of(encoding).items():
+            first[c] |= (0xC2 <= b <= 0xF4) << k
+            others[c] |= (b <= 0xBF) << k
+    others["�"] = (1 << len(WRONG)) - 1
+    return dict(first), dict(others)
+
+
+@cache
+def byte_chains() -> tuple[list[tuple[str, str]], dict[str, tuple[str, ...]]]:
+    """(wrong, right) of the chains of single bytes, and what each of them makes of a character."""
+    chains = [(wrong, right) for wrong in WRONG for right in RIGHT if right != wrong and {wrong, right} != {"cp1256", "iso8859-6"}]
+    tables = [letters_of(*chain) for chain in chains]
+    return chains, {c: tuple(t.get(ord(c), c) for t in tables) for c in sorted({chr(x) for t in tables for x in t})}
 
 
 @cache
@@ -89,9 +115,10 @@ class Model:
 
     def __init__(self, pairs: pd.DataFrame) -> None:
         weight = pairs.groupby("a")["n"].sum().sort_values(ascending=False, kind="stable")
-        self.ids = np.zeros(0x10000, dtype=np.int32)
+        self.ids = np.zeros(0x110000, dtype=np.int16)
         chars = np.sort(weight.index.to_numpy(dtype=np.int64)[: ALPHABET - 1])
         self.ids[chars] = np.arange(1, len(chars) + 1)
+        self.ids[0x10000:] = self.ids[0xFFFF]  # counted as one
         size = len(chars) + 1
         counts = np.zeros((size, size))
         np.add.at(counts, (self.ids[pairs["a"]], self.ids[pairs["b"]]), pairs["n"])
@@ -107,18 +134,20 @@ class Model:
         self.repairs: dict[str, tuple[float, list[str], str]] = {}
 
     def codes(self, text: str) -> np.ndarray:
-        raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        return self.ids[np.where(raw < 0x10000, raw, 0xFFFF)]
+        return self.ids[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
 
     def steps(self, text: str) -> np.ndarray:
         c = self.codes(text)
         return self.logs[c[:-1], c[1:]]
 
     def score(self, text: str) -> float:
-        return float(self.steps(f" {text} ").sum())
+        """Log-likelihood of the text between spaces; every transition lies in one word or at its ends."""
+        return sum(map(self.word_score, text.split(" ")))
 
     def word_score(self, word: str) -> float:
-        """As ``score``, for short texts: table look-ups without arrays."""
+        """Log-likelihood of the word between spaces: table look-ups without arrays, kept for the next time."""
+        if len(word) > LONG_WORD:
+            return float(self.steps(f" {word} ").sum(dtype=np.float64))
         if not self.quick:
             self.quick.append((dict(zip(map(chr, np.flatnonzero(self.ids)), self.ids[self.ids > 0].tolist(), strict=True)), self.logs.tolist()))
         ids, logs = self.quick[0]
@@ -134,6 +163,12 @@ class Model:
         self.scores[word] = total = total + logs[last][ids.get(" ", 0)]
         return total
 
+    def word_scores(self, texts: list[str]) -> np.ndarray:
+        """Score of every word, for texts of equally many words."""
+        text = " ".join(["", *texts, ""])
+        spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) == 32)
+        return np.add.reduceat(self.steps(text), spaces[:-1], dtype=np.float64).reshape(len(texts), -1)
+
     def suspicious(self, text: str) -> set[int]:
         """Numbers (from 0) of the lines with a rare transition."""
         steps = self.steps(f" {text} ".replace("\n", " "))
@@ -144,16 +179,14 @@ class Model:
         return set(np.searchsorted(ends, rare, side="right").tolist())
 
 
-def utf8_candidate(line: str, encoding: str) -> str:
-    pattern, of = sequences(encoding)
-    if "�" in line and all("�" in m.group() for m in pattern.finditer(line)):
-        return line  # missing glyphs alone are no sequence
+def decoded(text: str, encoding: str) -> str:
+    """The text with the UTF-8 sequences that this encoding shows in it decoded."""
+    pattern, of, codes = sequences(encoding)
 
-    def decode(match: re.Match) -> str:
-        found = match.group()
+    def decode(found: str) -> str:
         if "�" not in found:
             try:
-                return bytes(of[c] for c in found).decode("utf-8")
+                return found.translate(codes).encode("latin-1").decode("utf-8")
             except UnicodeDecodeError:
                 return found
         out, at = [], 0
@@ -168,74 +201,128 @@ def utf8_candidate(line: str, encoding: str) -> str:
             at += size
         return "".join(out)
 
-    return pattern.sub(decode, line)
-
-
-def byte_candidate(line: str, table: dict[int, str], model: Model) -> str:
-    """The line with the stretch of words decoded anew that gains most; words of ASCII only count as they stand."""
-    words, new = line.split(" "), line.translate(table).split(" ")
-    best, best_gain, gain, start = (0, 0), 0.0, 0.0, 0
-    for i, (a, b) in enumerate(zip(words, new, strict=True)):
-        gain += 0.0 if a == b else model.word_score(b) - model.word_score(a)
-        if gain <= 0:
-            gain, start = 0.0, i + 1
-        elif gain > best_gain:
-            best, best_gain = (start, i + 1), gain
-    lo, hi = best
-    return " ".join([*words[:lo], *new[lo:hi], *words[hi:]])
-
-
-def utf8_candidates(line: str) -> Iterator[tuple[str, str]]:
-    """(chain, text) of every encoding that shows UTF-8 in the line."""
-    for wrong in WRONG:
-        text = utf8_candidate(line, wrong)
-        if text != line:
-            yield f"utf-8 as {wrong}", text
-
-
-def byte_candidates(line: str, model: Model) -> Iterator[tuple[str, str]]:
-    """(chain, text) of every chain of single bytes that gains on some stretch."""
-    beyond = Counter(ord(c) for c in line if c > "\x7f")
-    for wrong in WRONG:
-        for right in RIGHT:
-            if right != wrong and {wrong, right} != {"cp1256", "iso8859-6"}:
-                table = letters_of(wrong, right)
-                if sum(n for c, n in beyond.items() if c in table) >= LEAST_CHANGED:
-                    text = byte_candidate(line, table, model)
-                    if text != line:
-                        yield f"{right} as {wrong}", text
+    parts = pattern.split(text)  # every second one is a run of sequences
+    together = "\n".join(parts[1::2])
+    new = together if "�" in together else decode(together)
+    # Where one run is no valid UTF-8, each is decoded by itself.
+    parts[1::2] = new.split("\n") if new != together else map(decode, parts[1::2])
+    return "".join(parts)
+
+
+def shown_views(words: list[str], model: Model) -> list[tuple[str, list[str], list[float]]]:
+    """(encoding, words, gains): what UTF-8 chains make of the words. No chain takes or makes a space, so that lines follow from their words."""
+    line = " ".join(words)
+    first, others = sequence_marks()
+    marks = reduce(or_, map(and_, map(first.get, line, repeat(0)), map(others.get, line[1:], repeat(0))), 0)
+    shown = {wrong: decoded(line, wrong) for k, wrong in enumerate(WRONG) if marks >> k & 1}
+    if not shown:
+        return []
+    before, *scores = model.word_scores([line, *shown.values()])
+    return [(wrong, text.split(" "), (x - before).tolist()) for (wrong, text), x in zip(shown.items(), scores, strict=True)]
+
+
+def changed_views(words: list[str], model: Model) -> list[tuple[str, list[str], list[float], list[int]]]:
+    """(chain, words, gains, numbers of changed characters): what chains of single bytes make of the words; of chains that make the same of all, the first."""
+    if not words:
+        return []
+    line = " ".join(words)
+    chains, become = byte_chains()
+    changed: dict[str, tuple[str, str]] = {}
+    for text, chain in zip(map("".join, zip(*[become.get(c) or (c,) * len(chains) for c in line], strict=True)), chains, strict=True):
+        changed.setdefault(text, chain)
+    before, *scores = model.word_scores([line, *changed])
+    raw = np.frombuffer("".join([line, *changed]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, len(line))
+    starts = np.concatenate([[0], np.flatnonzero(raw[0] == 32)])
+    counts = np.add.reduceat(raw[1:] != raw[0], starts, axis=1, dtype=np.int64).tolist()
+    return [(f"{right} as {wrong}", text.split(" "), (x - before).tolist(), n) for (text, (wrong, right)), x, n in zip(changed.items(), scores, counts, strict=True)]
+
+
+def with_words(words: list[str], places: list[int], at: list[int], new: list[str]) -> str:
+    """The words joined, with those at ``places`` replaced by the new ones at ``at``."""
+    out = words.copy()
+    for i, k in zip(places, at, strict=True):
+        out[i] = new[k]
+    return " ".join(out)
+
+
+def best_stretch(gains: list[float]) -> tuple[int, int, float]:
+    """Stretch (from, to) with the largest sum of gains; an empty one if nothing gains."""
+    lo = hi = start = 0
+    best = gain = 0.0
+    for k, more in enumerate(gains):
+        if gain == 0:
+            start = k
+        gain = max(0.0, gain + more)
+        if gain > best:
+            lo, hi, best = start, k + 1, gain
+    return lo, hi, best
+
+
+def together(rows: list[tuple[list[str], str, float]]) -> Iterator[list[tuple[list[str], str, float]]]:
+    """The rows in groups of about TOGETHER characters."""
+    group, size = [], 0
+    for row in rows:
+        if group and size + len(row[1]) > TOGETHER:
+            yield group
+            group, size = [], 0
+        group.append(row)
+        size += len(row[1])
+    yield group
 
 
 def best_repair(line: str, model: Model) -> tuple[float, list[str], str]:
     """(gain, chains, text) of the likeliest candidate that reads like clean text; a gain of 0 if none does.
 
     Every chain is tried on the line, and again on the results: all chains where the first one was UTF-8, UTF-8 where it was of single bytes.
+    A chain of UTF-8 decodes the whole line, one of single bytes the stretch of words that gains most; words of ASCII only count as they stand.
     """
-    before, best = model.score(line), (0.0, [], line)
-    tried, open_ = {line}, [([], line)]
-    for _ in range(ROUNDS):
-        further, single = [], best[0]
-        for chains, now in open_:
-            for chain, text in utf8_candidates(now):
-                if text in tried:
-                    continue
-                tried.add(text)
-                gain = model.score(text) - before
-                if gain > best[0] and reads(line, text, model) and (all_utf8(chains) or gain >= single + TWOFOLD * LEAST_CHANGED * GAIN_EACH):
-                    best = (gain, [*chains, chain], text)
-                further.append(([*chains, chain], text))
-            if not all_utf8(chains):
-                continue
-            for chain, text in byte_candidates(now, model):
-                if text in tried:
+    best = (0.0, [], line)
+    tried, open_ = {line}, [([], line, 0.0)]
+    for turn in range(ROUNDS):
+        further, single, last = [], best[0], turn == ROUNDS - 1
+        for group in together(open_):
+            lines = [now.split(" ") for _, now, _ in group]
+            # Words of lines for which single bytes are tried too come first.
+            known = [{w for (chains, _, _), words in zip(group, lines, strict=True) if all_utf8(chains) == both for w in words if not w.isascii()} for both in (True, False)]
+            order = [*known[0], *(known[1] - known[0])]
+            number = {w: i for i, w in enumerate(order)}
+            shown, changed = shown_views(order, model), changed_views(order[: len(known[0])], model)
+            for (chains, now, had), words in zip(group, lines, strict=True):
+                places = [i for i, w in enumerate(words) if not w.isascii()]
+                at = [number[words[i]] for i in places]
+                for wrong, new, gains in shown:
+                    gain = had + sum([gains[k] for k in at])
+                    if last and gain <= best[0]:
+                        continue
+                    text = with_words(words, places, at, new)
+                    # Missing glyphs alone are no sequence.
+                    if text in tried or ("�" in now and all("�" in m.group() for m in sequences(wrong)[0].finditer(now))):
+                        continue
+                    tried.add(text)
+                    found = [*chains, f"utf-8 as {wrong}"]
+                    if gain > best[0] and reads(line, text, model) and (all_utf8(chains) or gain >= single + TWOFOLD * LEAST_CHANGED * GAIN_EACH):
+                        best = (gain, found, text)
+                    further.append((found, text, gain))
+                if not all_utf8(chains):
                     continue
-                tried.add(text)
-                gain = model.score(text) - before
-                least = TWOFOLD * LEAST_CHANGED if chains else LEAST_CHANGED
-                if gain > best[0] and reads_in_words(now, text, model, least) and (not chains or gain >= single + least * GAIN_EACH):
-                    best = (gain, [*chains, chain], text)
-                further.append(([*chains, chain], text))
+                for chain, new, gains, counts in changed:
+                    if sum([counts[k] for k in at]) < LEAST_CHANGED:
+                        continue
+                    lo, hi, more = best_stretch([gains[k] for k in at])
+                    gain = had + more
+                    if more <= 0 or (last and gain <= best[0]):
+                        continue
+                    text = with_words(words, places[lo:hi], at[lo:hi], new)
+                    if text in tried:
+                        continue
+                    tried.add(text)
+                    least = TWOFOLD * LEAST_CHANGED if chains else LEAST_CHANGED
+                    if gain > best[0] and reads_in_words(now, text, more, model, least) and (not chains or gain >= single + least * GAIN_EACH):
+                        best = (gain, [*chains, chain], text)
+                    further.append(([*chains, chain], text, gain))
         open_ = further
+        if not open_:
+            break
     return best
 
 
@@ -256,7 +343,7 @@ def reads(line: str, text: str, model: Model) -> bool:
     return len(steps) == 0 or float(steps.mean()) >= CLEAN
 
 
-def reads_in_words(line: str, text: str, model: Model, least: int = LEAST_CHANGED) -> bool:
+def reads_in_words(line: str, text: str, gain: float, model: Model, least: int) -> bool:
     """For chains of single bytes: whether enough characters changed, each to its gain, into words that read like clean text."""
     pairs = [(a, b) for a, b in zip(line.split(" "), text.split(" "), strict=False) if a != b]
     changed = sum(x != y for a, b in pairs for x, y in zip(a, b, strict=False))
@@ -265,7 +352,7 @@ def reads_in_words(line: str, text: str, model: Model, least: int = LEAST_CHANGE
         return False
     if any(ARABIC.search(b) and (ARABIC.search(a) or LATIN.search(b)) for a, b in pairs):
         return False
-    return float(np.concatenate(inner).mean()) >= CLEAN_WORDS and model.score(text) - model.score(line) >= GAIN_EACH * changed
+    return float(np.concatenate(inner).mean()) >= CLEAN_WORDS and gain >= GAIN_EACH * changed
 
 
 def repair(text: str, model: Model) -> tuple[str, list[str]]:
