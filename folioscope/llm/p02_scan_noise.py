@@ -16,6 +16,7 @@ rows count once; a line may have several defects, each once.
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -52,13 +53,13 @@ BREAK = re.compile(r"[-‐‑¬\xad][ \t]*\n")
 END = re.compile(r"([^\W\d_]+)([-‐‑¬\xad])\s*$")
 BEGIN = re.compile(r"\s*([^\W\d_]+)")
 NUMBER = re.compile(r"[\W_]*(?:(\d{1,9})|([ivxlcIVXLC]{1,7}))[\W_]*$")
-NOT_KEY = re.compile(r"(?:[^\w\n]|_)+")
+NOT_KEY, DIGIT = re.compile(r"[^\w\n]+"), re.compile(r"\d")
 EDGE_NUMBER = re.compile(r"^(?:[^\w\n]|_)*\d+(?!\w)|(?<!\w)\d+(?:[^\w\n]|_)*$", re.MULTILINE)
 ARABIC, LATIN = re.compile("[\u0620-\u06ff\ufb50-\ufdff\ufe70-\ufefc]"), re.compile(r"[A-Za-z]")
 FRAGMENT = re.compile(r"^[A-Za-z]{1,4}[.,،؛;:]?$")
 LONG_LATIN = re.compile(r"[A-Za-zÀ-ɏ]{4}")
 TRIPLED = re.compile(r"([^\W\d_])\1\1\S*")
-ASCII_MARKS = re.compile(r"[!-/:-@\[-`{-~]")
+ASCII_MARKS = string.punctuation
 CELL = re.compile(r"[^\s|;,،]+")
 MARKS = re.compile("[\u0300-\u036f\u0653-\u0655]")
 
@@ -76,7 +77,7 @@ def junk(text: str) -> bool:
     n = len(tokens)
     if chars > 30 * n and (not (cells := CELL.findall(text)) or sum(map(len, cells)) > 30 * len(cells)):
         return True
-    if sum(len(t) <= 2 for t in tokens) > 0.6 * n or len(ASCII_MARKS.findall(text)) > 0.35 * chars:
+    if sum(map((2).__ge__, map(len, tokens))) > 0.6 * n or sum(map(text.count, ASCII_MARKS)) > 0.35 * chars:
         return True
     # Where over 0.3 of the tokens have three letters of a kind, their mean length is well above that of prose.
     return chars > 5 * n and len(TRIPLED.findall(text)) > 0.3 * n
@@ -157,7 +158,8 @@ def misread_words(words: DataFrame) -> DataFrame:
 
 def keys_of(text: str) -> list[str]:
     """What each line is compared by: letters and digits in one case, without a number that stands by itself at an end."""
-    return NOT_KEY.sub("", EDGE_NUMBER.sub("", text)).lower().split("\n")
+    numbers_off = "\n".join([EDGE_NUMBER.sub("", x) if DIGIT.search(x) else x for x in text.split("\n")])
+    return NOT_KEY.sub("", numbers_off.replace("_", " ")).lower().split("\n")
 
 
 LINE_SCHEMA = "doc_id string, pdf_page int, ocr boolean, ids array<long>, nos array<int>, edges array<int>, near array<struct<id:long, line_no:int, key:string>>, numbers array<struct<line_no:int, value:int>>, hyphens array<struct<line_no:int, cut:string, heads:string>>"
