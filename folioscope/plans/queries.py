@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..operators import chunk, gates, index, ingest, ledger, retrieve, selection, tables, vectors
-from ..operators.common import workspace
+from ..operators.common import cut, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -274,7 +274,7 @@ def stored_index(spark, sf_dir, table):
 
 def keyword_pool(spark, sf_dir, queries=None):
     asked = keyword_queries(spark, sf_dir) if queries is None else queries
-    return index.ranked(index.bm25(stored_index(spark, sf_dir, "documents"), asked, "qid", "query"))
+    return index.pool(stored_index(spark, sf_dir, "documents"), asked, "qid", "query")
 
 
 def vector_pool(spark, sf_dir):
@@ -313,7 +313,9 @@ def bm25_topk(spark, sf_dir):
 @query
 def phrase_match(spark, sf_dir):
     """Names of regions as quoted phrases over the passages: adjacent tokens only."""
-    titles = once(spark, sf_dir, "passages", "region").select(F.lower("region").alias("qid")).distinct().select("qid", F.array_join(index.search_tokens(T.normalize_lines(F.col("qid"))), " ").alias("phrase")).where("phrase != ''")
+    # Written first, else the filter goes below the distinct and every passage's region is normalized, once for each reader.
+    titles = cut(once(spark, sf_dir, "passages", "region").select(F.lower("region").alias("qid")).distinct())
+    titles = cut(titles.select("qid", F.array_join(index.search_tokens(T.normalize_lines(F.col("qid"))), " ").alias("phrase")).where("phrase != ''"))
     return titles.join(stored_index(spark, sf_dir, "passages").hits(titles), "phrase").select("qid", "pid", F.col("tf").cast("long").alias("occurrences"))
 
 

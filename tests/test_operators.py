@@ -132,6 +132,32 @@ def test_a_query_reads_only_its_buckets(spark, tmp_path):
     assert {(r["phrase"], r["pid"], r["tf"]) for r in hits.collect()} == {("word7 word8", i, 1) for i in range(0, 8)} | {("word5", i, 1) for i in range(6)}
 
 
+def test_pools_without_a_row_for_each_passage_a_query_meets(spark, tmp_path, monkeypatch):
+    # Small blocks, so that passages and queries are in several; ties are cut by pid, and pids aren't in the order of their blocks.
+    for name, n in (("BLOCK", 30), ("SPAN", 2), ("ASKED", 3), ("IN_FILE", 2)):
+        monkeypatch.setattr(index, name, n)
+    texts = [(f"p{i * 7 % 200:03d}", " ".join(["old"] * (i % 3) + ["fort-well" if i % 5 else "fort"] + [f"w{i % 4}"] * (1 + i % 2)) if i % 11 else None) for i in range(200)]
+    stored = index.Index.build(spark.createDataFrame(texts, "pid string, t string"), "pid", "t", str(tmp_path / "p"))
+    queries = spark.createDataFrame([(1, "fort"), (2, "old old w1"), (3, "fort-well w2"), (4, "old old w1"), (5, "none"), (6, None), (7, "well-fort"), (8, "w3 fort-well w3")], "qid int, q string")
+    made = index.pool(stored, queries, "qid", "q", 10)
+    want = index.ranked(index.bm25(stored, queries, "qid", "q"), 10)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
+    assert made.count() == 10 * 5
+    # A pool that is read twice is the same to both readers.
+    assert made.groupBy("qid").count().join(made, "qid").count() == made.count()
+
+
+def test_an_index_of_nothing(spark, tmp_path):
+    stored = index.Index.build(spark.createDataFrame([], "pid long, t string"), "pid", "t", str(tmp_path / "n"))
+    queries = spark.createDataFrame([(1, "fort old-well")], "qid int, q string")
+    assert index.pool(stored, queries, "qid", "q").count() == stored.hits(spark.createDataFrame([("fort",), ("old well",)], "phrase string")).count() == 0
+
+
+def test_a_frequent_term_has_one_row_per_block(spark, tmp_path):
+    stored = index.Index.build(spark.createDataFrame([(i, "fort fort well") for i in range(100)], "pid int, t string"), "pid", "t", str(tmp_path / "f"))
+    assert sorted((r["term"], len(r["docs"]), len(r["places"])) for r in stored.postings.collect()) == [("fort", 100, 200), ("well", 100, 100)]
+
+
 def test_phrases(spark):
     assert value(spark, F.concat_ws("|", index.phrases(F.col("q"))), q='"a"  b"c x') == 'a|b"c|x'
     assert value(spark, F.size(index.phrases(F.col("q"))), q=" ".join("abcdefgh" * 5)) == 32
