@@ -497,3 +497,14 @@ def test_hashes_and_windows():
     values = np.random.default_rng(1).integers(0, 50, 300).astype(np.uint64)
     least = set(p10.least_in_windows(values, 9).tolist())
     assert all(any(values[j] == values[i : i + 9].min() and j in least for j in range(i, i + 9)) for i in range(292))
+
+
+def test_a_filters_bits_reach_the_driver_packed(spark, monkeypatch):
+    # Before, the driver got a row for each word of 32 bits: 2.4 GB of Python rows for a full filter.
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", lambda df: pytest.fail("a row for each word"))
+    numbers = spark.range(0, 60_000, 2).withColumnRenamed("id", "k")
+    table = Bloom(numbers, "k")
+    assert len(table.table.value) > 2 * Bloom.PACKED
+    passed = spark.range(60_000).withColumnRenamed("id", "k").where(table.may_have(F.col("k")))
+    assert passed.where("k % 2 = 0").count() == 30_000 and passed.count() < 31_500
+    assert spark.range(9).where(Bloom(numbers.limit(0), "k").may_have(F.col("id"))).count() == 0
