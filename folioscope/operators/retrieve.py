@@ -26,7 +26,7 @@ def fuse(keyword: DataFrame, vector: DataFrame) -> DataFrame:
     strength = F.when(F.coalesce(best, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("score") / best)
     words = keyword.select("qid", "pid", (strength / (RRF_K + F.col("rank"))).alias("part"), F.col("rank").alias("fts_rank"), F.lit(None).cast("int").alias("vec_rank"))
     near = vector.select("qid", "pid", (F.lit(1.0) / (RRF_K + F.col("rank"))).alias("part"), F.lit(None).cast("int").alias("fts_rank"), F.col("rank").alias("vec_rank"))
-    # Both sides are parted by query, and a union of such sides counts as parted too, even where their partitions were merged differently: so they are parted anew.
+    # Both sides are parted by query, and Spark puts no exchange above a union of such sides; folded hits had doubled rows without parting them anew.
     both = words.unionByName(near).repartition("qid").groupBy("qid", "pid").agg(F.round(F.sum("part"), 12).alias("score"), F.max("fts_rank").alias("fts_rank"), F.max("vec_rank").alias("vec_rank"))
     order = W.partitionBy("qid").orderBy(F.desc("score"), F.asc_nulls_last("fts_rank"), F.asc_nulls_last("vec_rank"))
     # Written, since folding reads it twice.
