@@ -508,3 +508,61 @@ def test_a_filters_bits_reach_the_driver_packed(spark, monkeypatch):
     passed = spark.range(60_000).withColumnRenamed("id", "k").where(table.may_have(F.col("k")))
     assert passed.where("k % 2 = 0").count() == 30_000 and passed.count() < 31_500
     assert spark.range(9).where(Bloom(numbers.limit(0), "k").may_have(F.col("id"))).count() == 0
+
+
+def test_a_line_asks_for_one_run_in_each_part(spark):
+    # Before, a line asked for all its runs of letters: some 50 for each of 60 letters.
+    draw = random.Random(7)
+    near = []
+    for length in [*range(8, 70), 99, 100, 101, 180, 400]:
+        key = "".join(draw.choices("abcdef", k=length))
+        for kind in range(6):
+            line = list(key)
+            for at in sorted(draw.sample(range(length), 1 + length // p02.LETTERS_EACH), reverse=True):
+                line[at : at + 1] = [["x"], [], [line[at], "x"]][kind % 3]
+            near.append(("d", "".join(line), key))
+    keys = spark.createDataFrame([x for x in near if len(x[1]) >= p02.LEAST_KEY], "doc_id string, key string, _key string")
+    errors = 1 + F.floor(F.length("_key") / p02.LETTERS_EACH).cast("int")
+    known = F.flatten(F.array(*[p02.grams(n, F.col("_key")) for n in (F.length("_key") - errors, F.length("_key"), F.length("_key") + errors)]))
+    got = keys.select(F.levenshtein("key", "_key") <= errors, F.arrays_overlap(p02.asked_grams(F.col("key")), known), F.size(p02.asked_grams(F.col("key"))) <= 2 + (F.length("key") + 1) / (p02.LETTERS_EACH - 1)).collect()
+    assert len(got) > 300 and all(map(all, got))
+
+
+ODD_TEXTS = [
+    "", "\n", "12 Storia_9\n— 7 —\n٣ باب ٤\n_1_ x\n3rd row 4th\n²x 5²\n5́ a\n a 5́ \n\x1c8 y\x1c9", "É 9\nΣΑΣ_ 1\n_9\n9_", "aaa bbb cccc ddddddd", "AAAaaaa bbbbbbb cccccccc", "a b c d e", "x" * 31,
+    "…,;: ..!! ab", "al-Bir al‐Bir x-9 a--b well-known. (well-known) re-\nadded a b-c", "日日日本本本 語語語語語語", "\ud800 x\n1 \ud800",
+]
+
+
+@pytest.mark.parametrize("text", ODD_TEXTS)
+def test_readers_of_pages_against_their_rules(text):
+    lines = [re.sub(p02.EDGE_NUMBER, "", x) for x in text.split("\n")]
+    assert p02.keys_of(text) == ["".join(c for c in x if c.isalnum()) for x in "\n".join(lines).lower().split("\n")]
+    tokens = text.split()
+    n, chars, marks = len(tokens), sum(map(len, tokens)), sum(c.isascii() and c.isprintable() and not c.isalnum() and c != " " for c in text)
+    cells = p02.CELL.findall(text)
+    endless = chars > 30 * n and (not cells or len("".join(cells)) > 30 * len(cells))
+    junk = n > 0 and (endless or sum(len(t) <= 2 for t in tokens) > 0.6 * n or marks > 0.35 * chars or (chars > 5 * n and len(p02.TRIPLED.findall(text)) > 0.3 * n))
+    assert p02.junk(text) is junk
+    frame = pd.DataFrame({"ocr": [True, False, True], "text": [text] * 3})
+    counted = {w: (a, b) for part in p02.count_words(iter([frame])) for w, a, b in part.itertuples(index=False)}
+    plain = p02.unbroken(p02.composed(text.lower()))
+    words = p02.WORD.findall(plain) + p02.COMPOUND.findall(plain)
+    assert counted == {w: (words.count(w), 2 * words.count(w)) for w in words if not w.isdigit()}
+
+
+def test_what_comes_again_is_taken_apart_once(monkeypatch):
+    # Before, every page was searched for words, and again for compounds.
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.letters = pattern, 0
+
+        def findall(self, text):
+            self.letters += len(text)
+            return self.pattern.findall(text)
+
+    monkeypatch.setattr(p02, "WORD", Counted(p02.WORD))
+    frame = pd.DataFrame({"ocr": [True] * 500, "text": ["A well, by the well-known road."] * 500})
+    part = next(p02.count_words(iter([frame])))
+    assert dict(zip(part["word"], part["n_ocr"], strict=True)) == {"a": 500, "well": 1000, "by": 500, "the": 500, "known": 500, "road": 500, "well-known": 500}
+    assert p02.WORD.letters < 31
