@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache, reduce
-from itertools import repeat
+from itertools import islice, repeat
 from operator import and_, or_
 
 import numpy as np
@@ -40,12 +40,16 @@ LEAST_CHANGED, GAIN_EACH = 2, 4.0
 #: Where UTF-8 and single bytes follow each other, so many times the characters must change, and gain over what one chain makes of the line.
 TWOFOLD = 2
 ROUNDS = 2
+#: Characters of a batch up to which each pair of them has a counter.
+COUNTED = 2000
 #: Words whose scores a task keeps, to look them up.
 SCORES_HELD = 100_000
 #: Words over this length aren't kept.
 LONG_WORD = 64
 #: Characters of lines that are tried together; a longer line is tried by itself.
 TOGETHER = 20_000
+#: Words whose first candidates a task keeps, and pages whose words are tried together.
+WORDS_HELD, PAGES_TOGETHER = 20_000, 100
 #: Lines whose best repairs a task keeps.
 REPAIRS_HELD = 20_000
 # The encodings that text is decoded with by mistake, and those that it was written in.
@@ -53,6 +57,8 @@ WRONG = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1256",
 RIGHT = ["cp1256", "cp1252", "iso8859-6"]
 #: Lines with these are not clean: control characters, letters of two scripts in one word, capitals or signs inside words, runs of accented Latin-1.
 UNCLEAN = r"[\u0080-\u009f\ufffd]|[A-Za-z][\u0370-\u052f]|[\u0370-\u052f][A-Za-z]|[a-z][\u00c0-\u00de]|[A-Za-z][\u00a1-\u00b6\u00b8-\u00ba\u00bc-\u00bf\u2020-\u2022\u2030\u20ac\u2122\u2202-\u25ff][A-Za-z]|[\u00a1-\u00ff\u0152-\u0192\u02c6-\u02dc\u2013-\u2122\u2202-\u25ff]{3}|[\u2202-\u25ff]"
+#: Other characters than ASCII that these have.
+UNCLEAN_CHARS = r"\u0080-\u00ff\ufffd\u0370-\u052f\u0152-\u0192\u02c6-\u02dc\u2013-\u2122\u2202-\u25ff"
 ARABIC, LATIN = re.compile("[\u0620-\u06ff]"), re.compile("[A-Za-zÀ-ɏ]")
 
 
@@ -128,9 +134,12 @@ class Model:
         self.logs = np.log(np.maximum(mixed, 1e-9)).astype(np.float32)
         self.logs[0, :] = self.logs[:, 0] = np.float32(-13.0)
         self.logs[0, 0] = np.float32(-13.0)
+        self.rare = (self.logs <= RARE).ravel()
         self.margin = LEAST_MARGIN
         self.quick: list = []
         self.scores: dict[str, float] = {}
+        self.shown: dict[str, tuple] = {}
+        self.changed: dict[str, tuple] = {}
         self.repairs: dict[str, tuple[float, list[str], str]] = {}
 
     def codes(self, text: str) -> np.ndarray:
@@ -171,8 +180,8 @@ class Model:
 
     def suspicious(self, text: str) -> set[int]:
         """Numbers (from 0) of the lines with a rare transition."""
-        steps = self.steps(f" {text} ".replace("\n", " "))
-        rare = np.flatnonzero(steps <= RARE)
+        c = self.codes(f" {text} ".replace("\n", " ")).astype(np.int32)
+        rare = np.flatnonzero(self.rare[c[:-1] * len(self.logs) + c[1:]])
         if not len(rare):
             return set()
         ends = np.cumsum([len(x) + 1 for x in text.split("\n")])
@@ -209,39 +218,64 @@ def decoded(text: str, encoding: str) -> str:
     return "".join(parts)
 
 
-def shown_views(words: list[str], model: Model) -> list[tuple[str, list[str], list[float]]]:
-    """(encoding, words, gains): what UTF-8 chains make of the words. No chain takes or makes a space, so that lines follow from their words."""
+def shown_words(words: list[str], model: Model) -> list[tuple[tuple[str, str, float], ...]]:
+    """(encoding, new, gain) of the UTF-8 chains that change each word. No chain takes or makes a space, so that lines follow from their words."""
     line = " ".join(words)
     first, others = sequence_marks()
     marks = reduce(or_, map(and_, map(first.get, line, repeat(0)), map(others.get, line[1:], repeat(0))), 0)
     shown = {wrong: decoded(line, wrong) for k, wrong in enumerate(WRONG) if marks >> k & 1}
     if not shown:
-        return []
+        return [()] * len(words)
     before, *scores = model.word_scores([line, *shown.values()])
-    return [(wrong, text.split(" "), (x - before).tolist()) for (wrong, text), x in zip(shown.items(), scores, strict=True)]
+    each = [[(wrong, new, gain) for new, gain in zip(text.split(" "), (x - before).tolist(), strict=True)] for (wrong, text), x in zip(shown.items(), scores, strict=True)]
+    return [tuple(x for x in of_word if x[1] != word) for word, of_word in zip(words, zip(*each, strict=True), strict=True)]
 
 
-def changed_views(words: list[str], model: Model) -> list[tuple[str, list[str], list[float], list[int]]]:
-    """(chain, words, gains, numbers of changed characters): what chains of single bytes make of the words; of chains that make the same of all, the first."""
-    if not words:
-        return []
+def changed_words(words: list[str], model: Model) -> list[tuple[list[float], list[int], tuple[int, ...]]]:
+    """What chains of single bytes make of each word: gains and numbers of changed characters by chain, and the chains that gain."""
     line = " ".join(words)
     chains, become = byte_chains()
-    changed: dict[str, tuple[str, str]] = {}
-    for text, chain in zip(map("".join, zip(*[become.get(c) or (c,) * len(chains) for c in line], strict=True)), chains, strict=True):
-        changed.setdefault(text, chain)
-    before, *scores = model.word_scores([line, *changed])
-    raw = np.frombuffer("".join([line, *changed]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, len(line))
+    texts = list(map("".join, zip(*[become.get(c) or (c,) * len(chains) for c in line], strict=True)))
+    number = {text: k for k, text in enumerate(dict.fromkeys(texts))}
+    before, *scores = model.word_scores([line, *number])
+    raw = np.frombuffer("".join([line, *number]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, len(line))
     starts = np.concatenate([[0], np.flatnonzero(raw[0] == 32)])
-    counts = np.add.reduceat(raw[1:] != raw[0], starts, axis=1, dtype=np.int64).tolist()
-    return [(f"{right} as {wrong}", text.split(" "), (x - before).tolist(), n) for (text, (wrong, right)), x, n in zip(changed.items(), scores, counts, strict=True)]
+    of_chain = [number[text] for text in texts]
+    counts = np.add.reduceat(raw[1:] != raw[0], starts, axis=1, dtype=np.int64)[of_chain].T.tolist()
+    gains = (np.array(scores) - before)[of_chain].T
+    return [(g.tolist(), n, tuple(np.flatnonzero(g > 0).tolist())) for g, n in zip(gains, counts, strict=True)]
+
+
+def views(words: Iterable[str], held: dict, of_words: Callable, model: Model) -> dict:
+    """What ``of_words`` gives for each word, looked up or taken for many words at once. The task holds up to WORDS_HELD of them."""
+    out, new = {}, []
+    for word in words:
+        if word in held:
+            out[word] = held[word]
+        else:
+            new.append((None, word, 0.0))
+    for group in together(new) if new else ():
+        some = [word for _, word, _ in group]
+        found = dict(zip(some, of_words(some, model), strict=True))
+        out |= found
+        if len(held) + len(found) > WORDS_HELD:
+            held.clear()
+        held.update(islice(((w, x) for w, x in found.items() if len(w) <= LONG_WORD), WORDS_HELD))
+    return out
+
 
+def look_ahead(lines: Iterable[str], model: Model) -> None:
+    """Take what the first chains make of the lines' words, for all of them at once. Long lines are left to themselves."""
+    words = dict.fromkeys(w for x in lines if len(x) <= TOGETHER for w in x.split(" ") if not w.isascii())
+    views(words, model.shown, shown_words, model)
+    views(words, model.changed, changed_words, model)
 
-def with_words(words: list[str], places: list[int], at: list[int], new: list[str]) -> str:
-    """The words joined, with those at ``places`` replaced by the new ones at ``at``."""
+
+def with_words(words: list[str], places: list[int], new: list[str]) -> str:
+    """The words joined, with those at ``places`` replaced by the new ones."""
     out = words.copy()
-    for i, k in zip(places, at, strict=True):
-        out[i] = new[k]
+    for i, word in zip(places, new, strict=True):
+        out[i] = word
     return " ".join(out)
 
 
@@ -282,21 +316,23 @@ def best_repair(line: str, model: Model) -> tuple[float, list[str], str]:
         further, single, last = [], best[0], turn == ROUNDS - 1
         for group in together(open_):
             lines = [now.split(" ") for _, now, _ in group]
-            # Words of lines for which single bytes are tried too come first.
-            known = [{w for (chains, _, _), words in zip(group, lines, strict=True) if all_utf8(chains) == both for w in words if not w.isascii()} for both in (True, False)]
-            order = [*known[0], *(known[1] - known[0])]
-            number = {w: i for i, w in enumerate(order)}
-            shown, changed = shown_views(order, model), changed_views(order[: len(known[0])], model)
-            for (chains, now, had), words in zip(group, lines, strict=True):
+            asked = [[w for w in words if not w.isascii()] for words in lines]
+            shown = views(dict.fromkeys(w for ws in asked for w in ws), model.shown, shown_words, model)
+            changed = views(dict.fromkeys(w for (chains, _, _), ws in zip(group, asked, strict=True) if all_utf8(chains) for w in ws), model.changed, changed_words, model)
+            for (chains, now, had), words, ws in zip(group, lines, asked, strict=True):
                 places = [i for i, w in enumerate(words) if not w.isascii()]
-                at = [number[words[i]] for i in places]
-                for wrong, new, gains in shown:
-                    gain = had + sum([gains[k] for k in at])
+                by = [{wrong: (new, gain) for wrong, new, gain in shown[w]} for w in ws]
+                some = set().union(*by)
+                for wrong in [x for x in WRONG if x in some]:
+                    made = [x.get(wrong, (w, 0.0)) for x, w in zip(by, ws, strict=True)]
+                    gain = had + sum([more for _, more in made])
                     if last and gain <= best[0]:
                         continue
-                    text = with_words(words, places, at, new)
+                    text = with_words(words, places, [new for new, _ in made])
+                    if text in tried:
+                        continue
                     # Missing glyphs alone are no sequence.
-                    if text in tried or ("�" in now and all("�" in m.group() for m in sequences(wrong)[0].finditer(now))):
+                    if "�" in now and all("�" in m.group() for m in sequences(wrong)[0].finditer(now)):
                         continue
                     tried.add(text)
                     found = [*chains, f"utf-8 as {wrong}"]
@@ -305,14 +341,18 @@ def best_repair(line: str, model: Model) -> tuple[float, list[str], str]:
                     further.append((found, text, gain))
                 if not all_utf8(chains):
                     continue
-                for chain, new, gains, counts in changed:
-                    if sum([counts[k] for k in at]) < LEAST_CHANGED:
+                of_words = [changed[w] for w in ws]
+                # A chain that no word gains by has no stretch.
+                for k in sorted(set().union(*[x[2] for x in of_words])):
+                    if sum([counts[k] for _, counts, _ in of_words]) < LEAST_CHANGED:
                         continue
-                    lo, hi, more = best_stretch([gains[k] for k in at])
+                    lo, hi, more = best_stretch([gains[k] for gains, _, _ in of_words])
                     gain = had + more
                     if more <= 0 or (last and gain <= best[0]):
                         continue
-                    text = with_words(words, places[lo:hi], at[lo:hi], new)
+                    wrong, right = byte_chains()[0][k]
+                    chain, letters = f"{right} as {wrong}", letters_of(wrong, right)
+                    text = with_words(words, places[lo:hi], [w.translate(letters) for w in ws[lo:hi]])
                     if text in tried:
                         continue
                     tried.add(text)
@@ -355,10 +395,19 @@ def reads_in_words(line: str, text: str, gain: float, model: Model, least: int)
     return float(np.concatenate(inner).mean()) >= CLEAN_WORDS and gain >= GAIN_EACH * changed
 
 
-def repair(text: str, model: Model) -> tuple[str, list[str]]:
-    """The text with its garbled lines restored, and the chains used."""
+def repair_all(texts: list[str], model: Model) -> Iterator[tuple[str, list[str]]]:
+    """``repair`` of every text; the words of all suspicious lines are tried together."""
+    for at in range(0, len(texts), PAGES_TOGETHER):
+        some = texts[at : at + PAGES_TOGETHER]
+        found = [model.suspicious(t) for t in some]
+        look_ahead((lines[i] for t, numbers in zip(some, found, strict=True) if numbers for lines in [t.split("\n")] for i in numbers), model)
+        yield from map(repair, some, repeat(model), found)
+
+
+def repair(text: str, model: Model, found: set[int] | None = None) -> tuple[str, list[str]]:
+    """The text with its garbled lines restored, and the chains used; ``found`` are its suspicious lines."""
     lines, chains = text.split("\n"), []
-    found = model.suspicious(text)
+    found = model.suspicious(text) if found is None else found
     if not found or junk(text):
         return text, chains
     for i in sorted(found):
@@ -393,8 +442,22 @@ def unclean() -> re.Pattern:
     return re.compile("|".join([UNCLEAN, shown_utf8("cp1256"), shown_utf8("cp1251")]))
 
 
+@cache
+def unclean_runs() -> re.Pattern:
+    more = "".join(re.escape(c) for encoding in ("cp1256", "cp1251") for c, b in bytes_of(encoding).items() if b <= 0xDF)
+    return re.compile(f"[{UNCLEAN_CHARS}{more}]+")
+
+
+def is_unclean(line: str) -> bool:
+    """Whether ``unclean`` finds anything: it is looked for in runs of its characters and the letter on either side, since its many rules are slow on others."""
+    if line.isascii():
+        return False
+    search = unclean().search
+    return any(search(line, max(0, m.start() - 1), m.end() + 1) for m in unclean_runs().finditer(line))
+
+
 def clean_lines(text: str) -> list[str]:
-    return [x for x in text.split("\n") if len(x) > 1 and (x.isascii() or not unclean().search(x))]
+    return [x for x in text.split("\n") if len(x) > 1 and not is_unclean(x)]
 
 
 def held_out(line: str) -> bool:
@@ -406,10 +469,20 @@ def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Transitions of the clean lines, summed per batch."""
     for batch in batches:
         lines = [x for text in batch["text"] for x in clean_lines(text) if not held_out(x)]
-        raw = np.frombuffer(" ".join(["", *lines, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-        raw = np.where(raw < 0x10000, raw, 0xFFFF)
-        pairs, n = np.unique(raw[:-1] << 16 | raw[1:], return_counts=True)
-        yield pd.DataFrame({"a": (pairs >> 16).astype(np.int32), "b": (pairs & 0xFFFF).astype(np.int32), "n": n})
+        raw = np.minimum(np.frombuffer(" ".join(["", *lines, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 0xFFFF)
+        chars = np.flatnonzero(np.bincount(raw, minlength=0x10000))
+        number = np.zeros(0x10000, dtype=np.int64)
+        number[chars] = np.arange(len(chars))
+        codes = number[raw]
+        pairs = codes[:-1] * len(chars) + codes[1:]
+        # Few characters have a counter for each pair; else the pairs are sorted.
+        if len(chars) <= COUNTED:
+            counts = np.bincount(pairs)
+            pairs = np.flatnonzero(counts)
+            n = counts[pairs]
+        else:
+            pairs, n = np.unique(pairs, return_counts=True)
+        yield pd.DataFrame({"a": chars[pairs // len(chars)].astype(np.int32), "b": chars[pairs % len(chars)].astype(np.int32), "n": n})
 
 
 def held_gains(model: Model) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -417,7 +490,8 @@ def held_gains(model: Model) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            held = [x for text in batch["text"] if not text.isascii() for x in text.split("\n") if len(x) > 1 and not x.isascii() and held_out(x) and not unclean().search(x)]
+            held = [x for text in batch["text"] if not text.isascii() for x in text.split("\n") if len(x) > 1 and not x.isascii() and held_out(x) and not is_unclean(x)]
+            look_ahead(held, model)
             # Rounded, so that the number of different gains doesn't grow with the lines.
             counts = Counter(round(best_repair(x, model)[0], 3) for x in held)
             yield pd.DataFrame({"gain": list(counts.keys()), "n": list(counts.values())}).astype({"gain": "float64", "n": "int64"})
@@ -445,7 +519,7 @@ def restore(pages: DataFrame, model: Model, ids: list[str], text: str = "raw_tex
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [repair(t, model) for t in batch["_text"]]
+            out = list(repair_all(batch["_text"].tolist(), model))
             hit = np.array([bool(c) for _, c in out], dtype=bool)
             kept = batch.loc[hit, ids].reset_index(drop=True)
             kept["restored"] = [t for t, c in out if c]

@@ -566,3 +566,43 @@ def test_what_comes_again_is_taken_apart_once(monkeypatch):
     part = next(p02.count_words(iter([frame])))
     assert dict(zip(part["word"], part["n_ocr"], strict=True)) == {"a": 500, "well": 1000, "by": 500, "the": 500, "known": 500, "road": 500, "well-known": 500}
     assert p02.WORD.letters < 31
+
+
+def test_unclean_lines_are_those_of_the_rules():
+    draw = random.Random(3)
+    chars = "aZb  éÉāṣḥ–’“†№дЖПبتΩ\u0091�▓½ª·ÂÃ" + "".join(c for e in ("cp1256", "cp1251") for c in p04.bytes_of(e))
+    lines = ["".join(draw.choices(chars, k=draw.randrange(12))) for _ in range(4000)] + ["".join(draw.choices("abcZ éāṣ’", k=9)) for _ in range(2000)]
+    want = [bool(p04.unclean().search(x)) for x in lines]
+    assert [p04.is_unclean(x) for x in lines] == want and 500 < sum(want) < 5500
+
+
+def test_transitions_are_counted_alike(monkeypatch):
+    texts = pd.DataFrame({"text": [*SENTENCES, "x 𝒳𝒴 y", "aa\naa\n\né", ""]})
+    want = {}
+    for x in (x for t in texts["text"] for x in p04.clean_lines(t) if not p04.held_out(x)):
+        codes = [min(ord(c), 0xFFFF) for c in f" {x} "]
+        for pair in zip(codes, codes[1:], strict=False):
+            want[pair] = want.get(pair, 0) + 1
+    for most in (p04.COUNTED, 2):
+        monkeypatch.setattr(p04, "COUNTED", most)
+        assert {(a, b): n for a, b, n in next(p04.count_pairs(iter([texts]))).itertuples(index=False)} == want
+
+
+def test_words_of_many_pages_are_tried_together(encodings, monkeypatch):
+    # Before, every suspicious line was tried by itself with all chains.
+    of = {b: c for c, b in p04.bytes_of("cp1252").items()}
+    shown = lambda text: "".join(chr(b) if b < 0x80 else of[b] for b in text.encode())
+    texts = [f"{shown(SENTENCES[0])} {i}\n{SENTENCES[0]} №½{i}" for i in range(40)] + ["", "ab", SENTENCES[1], "f 9 x ن 4 § ¤ 1 z " * 9]
+    monkeypatch.setattr(encodings, "repairs", {})
+    want = [p04.repair(t, encodings) for t in texts]
+    calls = []
+    tried = p04.changed_words
+    monkeypatch.setattr(p04, "changed_words", lambda words, model: calls.append(len(words)) or tried(words, model))
+    for name in ("repairs", "shown", "changed"):
+        monkeypatch.setattr(encodings, name, {})
+    assert list(p04.repair_all(texts, encodings)) == want and want[0][1]
+    assert calls[0] > 40 and p04.views(["№½0"], encodings.changed, pytest.fail, encodings)
+    monkeypatch.setattr(p04, "WORDS_HELD", 3)
+    for name in ("repairs", "shown", "changed"):
+        monkeypatch.setattr(encodings, name, {})
+    assert list(p04.repair_all(texts, encodings)) == want and len(encodings.changed) <= 3
