@@ -40,8 +40,8 @@ LEAST_CHANGED, GAIN_EACH = 2, 4.0
 #: Where UTF-8 and single bytes follow each other, so many times the characters must change, and gain over what one chain makes of the line.
 TWOFOLD = 2
 ROUNDS = 2
-#: Characters of a batch up to which each pair of them has a counter.
-COUNTED = 2000
+#: Characters of a batch up to which each pair of them has a counter, and lines that are counted together.
+COUNTED, LINES_TOGETHER = 1000, 10_000
 #: Words whose scores a task keeps, to look them up.
 SCORES_HELD = 100_000
 #: Words over this length aren't kept.
@@ -469,19 +469,24 @@ def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Transitions of the clean lines, summed per batch."""
     for batch in batches:
         lines = [x for text in batch["text"] for x in clean_lines(text) if not held_out(x)]
-        raw = np.minimum(np.frombuffer(" ".join(["", *lines, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 0xFFFF)
-        chars = np.flatnonzero(np.bincount(raw, minlength=0x10000))
+        # A slice of lines at a time, so that the arrays stay small; a space parts all lines.
+        slices = [np.minimum(np.frombuffer(" ".join(["", *lines[k : k + LINES_TOGETHER], ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 0xFFFF).astype(np.uint16) for k in range(0, max(1, len(lines)), LINES_TOGETHER)]
+        seen = np.zeros(0x10000, dtype=bool)
+        for raw in slices:
+            seen[raw] = True
+        chars = np.flatnonzero(seen)
         number = np.zeros(0x10000, dtype=np.int64)
         number[chars] = np.arange(len(chars))
-        codes = number[raw]
-        pairs = codes[:-1] * len(chars) + codes[1:]
+        each = (codes[:-1] * len(chars) + codes[1:] for codes in map(number.__getitem__, slices))
         # Few characters have a counter for each pair; else the pairs are sorted.
         if len(chars) <= COUNTED:
-            counts = np.bincount(pairs)
+            counts = np.zeros(len(chars) ** 2, dtype=np.int64)
+            for pairs in each:
+                counts += np.bincount(pairs, minlength=len(counts))
             pairs = np.flatnonzero(counts)
             n = counts[pairs]
         else:
-            pairs, n = np.unique(pairs, return_counts=True)
+            pairs, n = np.unique(np.concatenate(list(each)), return_counts=True)
         yield pd.DataFrame({"a": chars[pairs // len(chars)].astype(np.int32), "b": chars[pairs % len(chars)].astype(np.int32), "n": n})
 
 

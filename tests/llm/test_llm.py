@@ -583,8 +583,9 @@ def test_transitions_are_counted_alike(monkeypatch):
         codes = [min(ord(c), 0xFFFF) for c in f" {x} "]
         for pair in zip(codes, codes[1:], strict=False):
             want[pair] = want.get(pair, 0) + 1
-    for most in (p04.COUNTED, 2):
+    for most, lines in ((p04.COUNTED, p04.LINES_TOGETHER), (2, 2), (p04.COUNTED, 1)):
         monkeypatch.setattr(p04, "COUNTED", most)
+        monkeypatch.setattr(p04, "LINES_TOGETHER", lines)
         assert {(a, b): n for a, b, n in next(p04.count_pairs(iter([texts]))).itertuples(index=False)} == want
 
 
