@@ -16,9 +16,8 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from functools import cache, reduce
-from itertools import islice, repeat
-from operator import and_, or_
+from functools import cache
+from itertools import chain, compress, islice
 
 import numpy as np
 import pandas as pd
@@ -46,19 +45,22 @@ COUNTED, LINES_TOGETHER = 1000, 10_000
 SCORES_HELD = 100_000
 #: Words over this length aren't kept.
 LONG_WORD = 64
-#: Characters of lines that are tried together; a longer line is tried by itself.
-TOGETHER = 20_000
-#: Words whose first candidates a task keeps, and pages whose words are tried together.
+#: Characters of candidates whose words are tried together, and of lines or pages that are looked at together; a longer one stands by itself.
+TOGETHER, LOOKED_AT = 20_000, 200_000
+#: Words whose candidates a task keeps, and pages whose words are tried together.
 WORDS_HELD, PAGES_TOGETHER = 20_000, 100
 #: Lines whose best repairs a task keeps.
 REPAIRS_HELD = 20_000
 # The encodings that text is decoded with by mistake, and those that it was written in.
 WRONG = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1256", "iso8859-15"]
 RIGHT = ["cp1256", "cp1252", "iso8859-6"]
+# Classes of characters, for the rules by which lines aren't clean.
+LETTER, SMALL, CAPITAL, OTHER_SCRIPT = "[A-Za-z]", "[a-z]", r"[\u00c0-\u00de]", r"[\u0370-\u052f]"
+NEVER = r"[\u0080-\u009f\ufffd\u2202-\u25ff]"
+SIGN = r"[\u00a1-\u00b6\u00b8-\u00ba\u00bc-\u00bf\u2020-\u2022\u2030\u20ac\u2122\u2202-\u25ff]"
+ACCENTED = r"[\u00a1-\u00ff\u0152-\u0192\u02c6-\u02dc\u2013-\u2122\u2202-\u25ff]"
 #: Lines with these are not clean: control characters, letters of two scripts in one word, capitals or signs inside words, runs of accented Latin-1.
-UNCLEAN = r"[\u0080-\u009f\ufffd]|[A-Za-z][\u0370-\u052f]|[\u0370-\u052f][A-Za-z]|[a-z][\u00c0-\u00de]|[A-Za-z][\u00a1-\u00b6\u00b8-\u00ba\u00bc-\u00bf\u2020-\u2022\u2030\u20ac\u2122\u2202-\u25ff][A-Za-z]|[\u00a1-\u00ff\u0152-\u0192\u02c6-\u02dc\u2013-\u2122\u2202-\u25ff]{3}|[\u2202-\u25ff]"
-#: Other characters than ASCII that these have.
-UNCLEAN_CHARS = r"\u0080-\u00ff\ufffd\u0370-\u052f\u0152-\u0192\u02c6-\u02dc\u2013-\u2122\u2202-\u25ff"
+UNCLEAN = f"{NEVER}|{LETTER}{OTHER_SCRIPT}|{OTHER_SCRIPT}{LETTER}|{SMALL}{CAPITAL}|{LETTER}{SIGN}{LETTER}|{ACCENTED}{{3}}"
 ARABIC, LATIN = re.compile("[\u0620-\u06ff]"), re.compile("[A-Za-zÀ-ɏ]")
 
 
@@ -103,6 +105,24 @@ def byte_chains() -> tuple[list[tuple[str, str]], dict[str, tuple[str, ...]]]:
     return chains, {c: tuple(t.get(ord(c), c) for t in tables) for c in sorted({chr(x) for t in tables for x in t})}
 
 
+@cache
+def mark_tables() -> tuple[np.ndarray, np.ndarray]:
+    """``sequence_marks`` by code point."""
+    out = np.zeros((2, 0x110000), dtype=np.uint8)
+    for table, marks in zip(out, sequence_marks(), strict=True):
+        table[list(map(ord, marks))] = list(marks.values())
+    return out[0], out[1]
+
+
+@cache
+def byte_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Number, by code point, of each character that a chain of single bytes changes (0 for all others), and what each chain makes of it by number."""
+    _, become = byte_chains()
+    number = np.zeros(0x110000, dtype=np.uint16)
+    number[list(map(ord, become))] = np.arange(1, len(become) + 1)
+    return number, np.array([[0] * len(byte_chains()[0]), *[list(map(ord, x)) for x in become.values()]], dtype=np.uint32)
+
+
 @cache
 def letters_of(wrong: str, right: str) -> dict[int, str]:
     out = {}
@@ -211,39 +231,76 @@ def decoded(text: str, encoding: str) -> str:
         return "".join(out)
 
     parts = pattern.split(text)  # every second one is a run of sequences
-    together = "\n".join(parts[1::2])
-    new = together if "�" in together else decode(together)
-    # Where one run is no valid UTF-8, each is decoded by itself.
-    parts[1::2] = new.split("\n") if new != together else map(decode, parts[1::2])
+    runs = parts[1::2]
+    if runs:
+        # All at once; those with lost bytes, and those that may be no valid UTF-8, by themselves.
+        new = "\n".join(["" if "�" in run else run for run in runs]).translate(codes).encode("latin-1").decode("utf-8", "replace").split("\n")
+        parts[1::2] = [decode(run) if not text or "�" in text else text for run, text in zip(runs, new, strict=True)]
     return "".join(parts)
 
 
-def shown_words(words: list[str], model: Model) -> list[tuple[tuple[str, str, float], ...]]:
-    """(encoding, new, gain) of the UTF-8 chains that change each word. No chain takes or makes a space, so that lines follow from their words."""
-    line = " ".join(words)
-    first, others = sequence_marks()
-    marks = reduce(or_, map(and_, map(first.get, line, repeat(0)), map(others.get, line[1:], repeat(0))), 0)
-    shown = {wrong: decoded(line, wrong) for k, wrong in enumerate(WRONG) if marks >> k & 1}
-    if not shown:
-        return [()] * len(words)
-    before, *scores = model.word_scores([line, *shown.values()])
-    each = [[(wrong, new, gain) for new, gain in zip(text.split(" "), (x - before).tolist(), strict=True)] for (wrong, text), x in zip(shown.items(), scores, strict=True)]
-    return [tuple(x for x in of_word if x[1] != word) for word, of_word in zip(words, zip(*each, strict=True), strict=True)]
-
-
-def changed_words(words: list[str], model: Model) -> list[tuple[list[float], list[int], tuple[int, ...]]]:
-    """What chains of single bytes make of each word: gains and numbers of changed characters by chain, and the chains that gain."""
-    line = " ".join(words)
-    chains, become = byte_chains()
-    texts = list(map("".join, zip(*[become.get(c) or (c,) * len(chains) for c in line], strict=True)))
-    number = {text: k for k, text in enumerate(dict.fromkeys(texts))}
-    before, *scores = model.word_scores([line, *number])
-    raw = np.frombuffer("".join([line, *number]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, len(line))
-    starts = np.concatenate([[0], np.flatnonzero(raw[0] == 32)])
-    of_chain = [number[text] for text in texts]
-    counts = np.add.reduceat(raw[1:] != raw[0], starts, axis=1, dtype=np.int64)[of_chain].T.tolist()
-    gains = (np.array(scores) - before)[of_chain].T
-    return [(g.tolist(), n, tuple(np.flatnonzero(g > 0).tolist())) for g, n in zip(gains, counts, strict=True)]
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def by_word(values: np.ndarray, places: np.ndarray, spaces: np.ndarray) -> np.ndarray:
+    """Sums by word (rows) and chain (columns) of values by chain and place; ``spaces`` are the places before the words, and the end."""
+    starts = np.searchsorted(places, spaces)
+    some = np.flatnonzero(starts[:-1] < starts[1:])
+    out = np.zeros((len(spaces) - 1, len(values)), dtype=np.float64)
+    if len(some):
+        out[some] = np.add.reduceat(values, starts[some], axis=1, dtype=np.float64).T
+    return out
+
+
+def shown_words(words: list[str], model: Model) -> list[dict[str, tuple[str, float]]]:
+    """(new, gain) by encoding, of the UTF-8 chains that change each word. No chain takes or makes a space, so that lines follow from their words."""
+    raw = code_points(f" {' '.join(words)} ")
+    first, others = mark_tables()
+    marks = np.bitwise_or.reduceat(first[raw[:-1]] & others[raw[1:]], np.flatnonzero(raw == 32)[:-1])
+    found = []
+    for k, wrong in enumerate(WRONG):
+        # Only words in which the encoding shows the beginning of a sequence are decoded.
+        places = np.flatnonzero(marks >> k & 1).tolist()
+        if places:
+            new = decoded(" ".join([words[i] for i in places]), wrong).split(" ")
+            found += [(i, wrong, text) for i, text in zip(places, new, strict=True) if text != words[i]]
+    out: list[dict[str, tuple[str, float]]] = [{} for _ in words]
+    if found:
+        before, after = model.word_scores([" ".join([words[i] for i, _, _ in found]), " ".join([text for _, _, text in found])])
+        for (i, wrong, text), gain in zip(found, (after - before).tolist(), strict=True):
+            out[i][wrong] = (text, gain)
+    return out
+
+
+def changed_words(words: list[str], model: Model) -> list[tuple[list[float], list[int], tuple[int, ...], float, int]]:
+    """What chains of single bytes make of each word: gains and numbers of changed characters by chain, the chains that gain, the largest gain
+    and, as bits, the chains that leave the beginning of a UTF-8 sequence."""
+    raw = code_points(f" {' '.join(words)} ")
+    spaces = np.flatnonzero(raw == 32)
+    number, letters = byte_tables()
+    numbers = number[raw]
+    places = np.flatnonzero(numbers)
+    # Only transitions from and to these characters change.
+    touched = np.zeros(len(raw), dtype=bool)
+    touched[places] = touched[places - 1] = True
+    steps = np.flatnonzero(touched)
+    before = model.logs[model.ids[raw[steps]], model.ids[raw[steps + 1]]]
+    first, others = mark_tables()
+    n = letters.shape[1]
+    gains, counts, left = np.zeros((len(words), n)), np.zeros((len(words), n), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+    # For a long word fewer chains at once.
+    some = max(1, n * TOGETHER // len(raw))
+    for k in range(0, n, some):
+        texts = np.repeat(raw[None], min(some, n - k), axis=0)
+        texts[:, places] = letters[numbers[places], k : k + some].T
+        after = model.ids[texts]
+        gains[:, k : k + some] = by_word(model.logs[after[:, steps], after[:, steps + 1]].astype(np.float64) - before, steps, spaces)
+        counts[:, k : k + some] = by_word(texts[:, places] != raw[places], places, spaces)
+        marked = np.bitwise_or.reduceat(first[texts[:, :-1]] & others[texts[:, 1:]], spaces[:-1], axis=1).T != 0
+        left |= marked @ (1 << np.arange(k, k + len(texts), dtype=np.int64))
+    most = np.maximum(gains.max(axis=1), 0.0).tolist()
+    return [(g, n, tuple([k for k, x in enumerate(g) if x > 0]) if m else (), m, u) for g, n, m, u in zip(gains.tolist(), counts.tolist(), most, left.tolist(), strict=True)]
 
 
 def views(words: Iterable[str], held: dict, of_words: Callable, model: Model) -> dict:
@@ -253,9 +310,9 @@ def views(words: Iterable[str], held: dict, of_words: Callable, model: Model) ->
         if word in held:
             out[word] = held[word]
         else:
-            new.append((None, word, 0.0))
-    for group in together(new) if new else ():
-        some = [word for _, word, _ in group]
+            new.append((None, word))
+    for group in together(new):
+        some = [word for _, word in group]
         found = dict(zip(some, of_words(some, model), strict=True))
         out |= found
         if len(held) + len(found) > WORDS_HELD:
@@ -264,13 +321,6 @@ def views(words: Iterable[str], held: dict, of_words: Callable, model: Model) ->
     return out
 
 
-def look_ahead(lines: Iterable[str], model: Model) -> None:
-    """Take what the first chains make of the lines' words, for all of them at once. Long lines are left to themselves."""
-    words = dict.fromkeys(w for x in lines if len(x) <= TOGETHER for w in x.split(" ") if not w.isascii())
-    views(words, model.shown, shown_words, model)
-    views(words, model.changed, changed_words, model)
-
-
 def with_words(words: list[str], places: list[int], new: list[str]) -> str:
     """The words joined, with those at ``places`` replaced by the new ones."""
     out = words.copy()
@@ -292,77 +342,95 @@ def best_stretch(gains: list[float]) -> tuple[int, int, float]:
     return lo, hi, best
 
 
-def together(rows: list[tuple[list[str], str, float]]) -> Iterator[list[tuple[list[str], str, float]]]:
-    """The rows in groups of about TOGETHER characters."""
+def together(rows: list[tuple], most: int = TOGETHER) -> Iterator[list[tuple]]:
+    """The rows in groups of about ``most`` characters, which the second column counts."""
     group, size = [], 0
     for row in rows:
-        if group and size + len(row[1]) > TOGETHER:
+        if group and size + len(row[1]) > most:
             yield group
             group, size = [], 0
         group.append(row)
         size += len(row[1])
-    yield group
+    if group:
+        yield group
+
 
+def best_repairs(lines: Iterable[str], model: Model) -> Iterator[tuple[float, list[str], str]]:
+    """``best_of`` all lines, for as many of them at once as their candidates leave room."""
+    for group in together([(None, line) for line in lines], LOOKED_AT):
+        yield from best_of([line for _, line in group], model)
 
-def best_repair(line: str, model: Model) -> tuple[float, list[str], str]:
-    """(gain, chains, text) of the likeliest candidate that reads like clean text; a gain of 0 if none does.
 
-    Every chain is tried on the line, and again on the results: all chains where the first one was UTF-8, UTF-8 where it was of single bytes.
+def best_of(lines: list[str], model: Model) -> list[tuple[float, list[str], str]]:
+    """(gain, chains, text) of each line's likeliest candidate that reads like clean text; a gain of 0 if none does.
+
+    Every chain is tried on the lines, and again on the results: all chains where the first one was UTF-8, UTF-8 where it was of single bytes.
     A chain of UTF-8 decodes the whole line, one of single bytes the stretch of words that gains most; words of ASCII only count as they stand.
+    The words of all lines are tried together. What can't be accepted and what no further chain can change isn't written out in the first round.
     """
-    best = (0.0, [], line)
-    tried, open_ = {line}, [([], line, 0.0)]
+    best: list[tuple[float, list[str], str]] = [(0.0, [], line) for line in lines]
+    parts = [line.split(" ") for line in lines]
+    places = [[i for i, w in enumerate(words) if not w.isascii()] for words in parts]
+    # Of each candidate only the words that aren't ASCII, since no chain makes ASCII of them.
+    rows = [(n, " ".join([parts[n][i] for i in at]), [], 0.0) for n, at in enumerate(places) if at]
+    tried: dict[int, set[str]] = {n: {now} for n, now, _, _ in rows}
     for turn in range(ROUNDS):
-        further, single, last = [], best[0], turn == ROUNDS - 1
-        for group in together(open_):
-            lines = [now.split(" ") for _, now, _ in group]
-            asked = [[w for w in words if not w.isascii()] for words in lines]
-            shown = views(dict.fromkeys(w for ws in asked for w in ws), model.shown, shown_words, model)
-            changed = views(dict.fromkeys(w for (chains, _, _), ws in zip(group, asked, strict=True) if all_utf8(chains) for w in ws), model.changed, changed_words, model)
-            for (chains, now, had), words, ws in zip(group, lines, asked, strict=True):
-                places = [i for i, w in enumerate(words) if not w.isascii()]
-                by = [{wrong: (new, gain) for wrong, new, gain in shown[w]} for w in ws]
-                some = set().union(*by)
-                for wrong in [x for x in WRONG if x in some]:
-                    made = [x.get(wrong, (w, 0.0)) for x, w in zip(by, ws, strict=True)]
-                    gain = had + sum([more for _, more in made])
-                    if last and gain <= best[0]:
+        further, single, last = [], [gain for gain, _, _ in best], turn == ROUNDS - 1
+        for group in together(rows):
+            asked = [now.split(" ") for _, now, _, _ in group]
+            shown = views(dict.fromkeys(chain.from_iterable(asked)), model.shown, shown_words, model)
+            utf8 = [all_utf8(chains) for _, _, chains, _ in group]
+            changed = views(dict.fromkeys(chain.from_iterable(compress(asked, utf8))), model.changed, changed_words, model)
+            for (n, now, chains, had), words, only_utf8 in zip(group, asked, utf8, strict=True):
+                # Where UTF-8 and single bytes follow each other, so much must be gained.
+                mixed = single[n] + TWOFOLD * LEAST_CHANGED * GAIN_EACH
+                by = [shown[w] for w in words]
+                for wrong in [x for x in WRONG if any([x in y for y in by])] if any(by) else ():
+                    gain = had + sum([y[wrong][1] for y in by if wrong in y])
+                    if last and (gain <= best[n][0] or not only_utf8 and gain < mixed):
                         continue
-                    text = with_words(words, places, [new for new, _ in made])
-                    if text in tried:
+                    text = " ".join([y[wrong][0] if wrong in y else w for y, w in zip(by, words, strict=True)])
+                    if text in tried[n]:
                         continue
                     # Missing glyphs alone are no sequence.
                     if "�" in now and all("�" in m.group() for m in sequences(wrong)[0].finditer(now)):
                         continue
-                    tried.add(text)
+                    tried[n].add(text)
                     found = [*chains, f"utf-8 as {wrong}"]
-                    if gain > best[0] and reads(line, text, model) and (all_utf8(chains) or gain >= single + TWOFOLD * LEAST_CHANGED * GAIN_EACH):
-                        best = (gain, found, text)
-                    further.append((found, text, gain))
-                if not all_utf8(chains):
+                    if gain > best[n][0] and (only_utf8 or gain >= mixed):
+                        whole = with_words(parts[n], places[n], text.split(" "))
+                        if reads(lines[n], whole, model):
+                            best[n] = (gain, found, whole)
+                    further.append((n, text, found, gain))
+                if not only_utf8:
+                    continue
+                of_words = [changed[w] for w in words]
+                # Rounding may differ between sums.
+                if last and had + sum([x[3] for x in of_words]) < best[n][0] - 1e-6:
                     continue
-                of_words = [changed[w] for w in ws]
+                least = TWOFOLD * LEAST_CHANGED if chains else LEAST_CHANGED
                 # A chain that no word gains by has no stretch.
                 for k in sorted(set().union(*[x[2] for x in of_words])):
-                    if sum([counts[k] for _, counts, _ in of_words]) < LEAST_CHANGED:
-                        continue
-                    lo, hi, more = best_stretch([gains[k] for gains, _, _ in of_words])
+                    lo, hi, more = best_stretch([x[0][k] for x in of_words])
                     gain = had + more
-                    if more <= 0 or (last and gain <= best[0]):
+                    if last and gain <= best[n][0] or sum([x[1][k] for x in of_words]) < LEAST_CHANGED:
+                        continue
+                    count = sum([x[1][k] for x in of_words[lo:hi]])
+                    able = gain > best[n][0] and count >= least and more >= GAIN_EACH * count and (not chains or gain >= mixed)
+                    # In the last round a text that isn't accepted counts as tried, so that it isn't accepted the other way round, with less asked for.
+                    if not able and not last and not any([x[4] >> k & 1 for x in of_words[lo:hi]]) and not any(by[:lo]) and not any(by[hi:]):
                         continue
                     wrong, right = byte_chains()[0][k]
-                    chain, letters = f"{right} as {wrong}", letters_of(wrong, right)
-                    text = with_words(words, places[lo:hi], [w.translate(letters) for w in ws[lo:hi]])
-                    if text in tried:
+                    letters = letters_of(wrong, right)
+                    text = " ".join([*words[:lo], " ".join(words[lo:hi]).translate(letters), *words[hi:]])
+                    if text in tried[n]:
                         continue
-                    tried.add(text)
-                    least = TWOFOLD * LEAST_CHANGED if chains else LEAST_CHANGED
-                    if gain > best[0] and reads_in_words(now, text, more, model, least) and (not chains or gain >= single + least * GAIN_EACH):
-                        best = (gain, [*chains, chain], text)
-                    further.append(([*chains, chain], text, gain))
-        open_ = further
-        if not open_:
-            break
+                    tried[n].add(text)
+                    found = [*chains, f"{right} as {wrong}"]
+                    if able and reads_in_words(now, text, more, model, least):
+                        best[n] = (gain, found, with_words(parts[n], places[n], text.split(" ")))
+                    further.append((n, text, found, gain))
+        rows = further
     return best
 
 
@@ -396,68 +464,96 @@ def reads_in_words(line: str, text: str, gain: float, model: Model, least: int)
 
 
 def repair_all(texts: list[str], model: Model) -> Iterator[tuple[str, list[str]]]:
-    """``repair`` of every text; the words of all suspicious lines are tried together."""
+    """``repair`` of every text; the words of many pages' suspicious lines are tried together."""
     for at in range(0, len(texts), PAGES_TOGETHER):
-        some = texts[at : at + PAGES_TOGETHER]
-        found = [model.suspicious(t) for t in some]
-        look_ahead((lines[i] for t, numbers in zip(some, found, strict=True) if numbers for lines in [t.split("\n")] for i in numbers), model)
-        yield from map(repair, some, repeat(model), found)
-
-
-def repair(text: str, model: Model, found: set[int] | None = None) -> tuple[str, list[str]]:
-    """The text with its garbled lines restored, and the chains used; ``found`` are its suspicious lines."""
-    lines, chains = text.split("\n"), []
-    found = model.suspicious(text) if found is None else found
-    if not found or junk(text):
-        return text, chains
-    for i in sorted(found):
-        line = lines[i]
-        if line.isascii() or len(line) < 2:
-            continue
+        pages = [text.split("\n") for text in texts[at : at + PAGES_TOGETHER]]
+        used: list[dict[int, list[str]]] = [{} for _ in pages]
+        open_ = []
+        for k, (text, lines) in enumerate(zip(texts[at : at + PAGES_TOGETHER], pages, strict=True)):
+            numbers = [i for i in sorted(model.suspicious(text)) if not lines[i].isascii() and len(lines[i]) > 1]
+            if numbers and not junk(text):
+                open_ += [(k, i) for i in numbers]
         for _ in range(ROUNDS):  # a line may hold stretches of several chains
-            # Titles and notices come again on page after page.
-            if line not in model.repairs:
-                if len(model.repairs) >= REPAIRS_HELD:
-                    model.repairs.clear()
-                model.repairs[line] = best_repair(line, model)
-            gain, used, new = model.repairs[line]
-            if gain < model.margin:
-                break
-            chains += used
-            line = lines[i] = new
-            if not model.suspicious(line):
-                break
-    return "\n".join(lines), chains
-
-
-def shown_utf8(encoding: str) -> str:
-    """Pattern of three two-byte UTF-8 sequences in a row as this encoding shows them."""
+            repairs = lines_repaired(dict.fromkeys(pages[k][i] for k, i in open_), model)
+            again = []
+            for k, i in open_:
+                gain, chains, new = repairs[pages[k][i]]
+                if gain >= model.margin:
+                    used[k].setdefault(i, []).extend(chains)
+                    pages[k][i] = new
+                    if model.suspicious(new):
+                        again.append((k, i))
+            open_ = again
+        yield from ((text, chains) for text, chains in zip(map("\n".join, pages), ([c for i in sorted(u) for c in u[i]] for u in used), strict=True))
+
+
+def lines_repaired(lines: Iterable[str], model: Model) -> dict[str, tuple[float, list[str], str]]:
+    """The best repair of each line. Titles and notices come again on page after page, so that the task holds up to REPAIRS_HELD of them."""
+    lines = list(lines)
+    out = {x: model.repairs[x] for x in lines if x in model.repairs}
+    new = [x for x in lines if x not in out]
+    found = dict(zip(new, best_repairs(new, model), strict=True))
+    if len(model.repairs) + len(found) > REPAIRS_HELD:
+        model.repairs.clear()
+    model.repairs.update(islice(found.items(), REPAIRS_HELD))
+    return out | found
+
+
+def repair(text: str, model: Model) -> tuple[str, list[str]]:
+    """The text with its garbled lines restored, and the chains used."""
+    return next(repair_all([text], model))
+
+
+def of_utf8(encoding: str) -> tuple[str, str]:
+    """Classes of the characters as which this encoding shows the first and the second byte of two-byte UTF-8 sequences."""
     chars = lambda low, high: "".join(re.escape(c) for c, b in bytes_of(encoding).items() if low <= b <= high)
-    return f"(?:[{chars(0xC2, 0xDF)}][{chars(0x80, 0xBF)}]){{3}}"
+    return f"[{chars(0xC2, 0xDF)}]", f"[{chars(0x80, 0xBF)}]"
+
+
+#: In these encodings UTF-8 shows as letters of a script of its own, which the rules don't tell from text: three sequences in a row aren't clean.
+OWN_SCRIPT = ["cp1256", "cp1251"]
 
 
 @cache
 def unclean() -> re.Pattern:
-    # In the last two encodings UTF-8 shows as letters of a script of its own, which the rule doesn't tell from text.
-    return re.compile("|".join([UNCLEAN, shown_utf8("cp1256"), shown_utf8("cp1251")]))
+    return re.compile("|".join([UNCLEAN, *("(?:" + "".join(of_utf8(encoding)) + "){3}" for encoding in OWN_SCRIPT)]))
 
 
 @cache
-def unclean_runs() -> re.Pattern:
-    more = "".join(re.escape(c) for encoding in ("cp1256", "cp1251") for c, b in bytes_of(encoding).items() if b <= 0xDF)
-    return re.compile(f"[{UNCLEAN_CHARS}{more}]+")
+def classes() -> np.ndarray:
+    """The classes that ``unclean`` speaks of, by code point, as bits in the order in which ``are_unclean`` has them."""
+    out = np.zeros(0x110000, dtype=np.uint16)
+    chars = "".join(map(chr, range(0x10000)))
+    for k, of_class in enumerate([NEVER, LETTER, OTHER_SCRIPT, SMALL, CAPITAL, SIGN, ACCENTED, *chain.from_iterable(map(of_utf8, OWN_SCRIPT))]):
+        out[[m.start() for m in re.finditer(of_class, chars)]] |= 1 << k
+    return out
+
+
+def are_unclean(text: str) -> np.ndarray:
+    """For each line of the text whether ``unclean`` finds anything in it. A line end is in none of the classes, so that nothing reaches over it."""
+    out = np.zeros(text.count("\n") + 1, dtype=bool)
+    if text.isascii():
+        return out
+    raw = code_points(text + "\n" * 5)
+    bits = classes()[raw]
+    never, letter, other, small, capital, sign, accented, *own = range(7 + 2 * len(OWN_SCRIPT))
+    n = len(raw) - 5
+    at = lambda k, cls: bits[k : n + k] >> cls
+    hit = at(0, never) | at(0, letter) & at(1, other) | at(0, other) & at(1, letter) | at(0, small) & at(1, capital)
+    hit |= at(0, letter) & at(1, sign) & at(2, letter) | at(0, accented) & at(1, accented) & at(2, accented)
+    for lead, rest in zip(own[::2], own[1::2], strict=True):
+        pair = bits[:-1] >> lead & bits[1:] >> rest
+        hit |= pair[:n] & pair[2 : n + 2] & pair[4 : n + 4]
+    out[np.searchsorted(np.flatnonzero(raw[:n] == 10), np.flatnonzero(hit & 1))] = True
+    return out
 
 
 def is_unclean(line: str) -> bool:
-    """Whether ``unclean`` finds anything: it is looked for in runs of its characters and the letter on either side, since its many rules are slow on others."""
-    if line.isascii():
-        return False
-    search = unclean().search
-    return any(search(line, max(0, m.start() - 1), m.end() + 1) for m in unclean_runs().finditer(line))
+    return bool(are_unclean(line)[0])
 
 
 def clean_lines(text: str) -> list[str]:
-    return [x for x in text.split("\n") if len(x) > 1 and not is_unclean(x)]
+    return [x for x, bad in zip(text.split("\n"), are_unclean(text).tolist(), strict=True) if not bad and len(x) > 1]
 
 
 def held_out(line: str) -> bool:
@@ -468,7 +564,7 @@ def held_out(line: str) -> bool:
 def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Transitions of the clean lines, summed per batch."""
     for batch in batches:
-        lines = [x for text in batch["text"] for x in clean_lines(text) if not held_out(x)]
+        lines = [x for some in together([(None, text) for text in batch["text"]], LOOKED_AT) for x in clean_lines("\n".join([text for _, text in some])) if not held_out(x)]
         # A slice of lines at a time, so that the arrays stay small; a space parts all lines.
         slices = [np.minimum(np.frombuffer(" ".join(["", *lines[k : k + LINES_TOGETHER], ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 0xFFFF).astype(np.uint16) for k in range(0, max(1, len(lines)), LINES_TOGETHER)]
         seen = np.zeros(0x10000, dtype=bool)
@@ -495,10 +591,10 @@ def held_gains(model: Model) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            held = [x for text in batch["text"] if not text.isascii() for x in text.split("\n") if len(x) > 1 and not x.isascii() and held_out(x) and not is_unclean(x)]
-            look_ahead(held, model)
+            held = [x for text in batch["text"] if not text.isascii() for x in text.split("\n") if len(x) > 1 and not x.isascii() and held_out(x)]
+            held = [x for some in together([(None, x) for x in held], LOOKED_AT) for x in clean_lines("\n".join([x for _, x in some]))]
             # Rounded, so that the number of different gains doesn't grow with the lines.
-            counts = Counter(round(best_repair(x, model)[0], 3) for x in held)
+            counts = Counter(round(gain, 3) for gain, _, _ in best_repairs(held, model))
             yield pd.DataFrame({"gain": list(counts.keys()), "n": list(counts.values())}).astype({"gain": "float64", "n": "int64"})
 
     return work

@@ -607,3 +607,51 @@ def test_words_of_many_pages_are_tried_together(encodings, monkeypatch):
     for name in ("repairs", "shown", "changed"):
         monkeypatch.setattr(encodings, name, {})
     assert list(p04.repair_all(texts, encodings)) == want and len(encodings.changed) <= 3
+
+
+
+def test_candidates_of_many_lines_are_tried_together(encodings, monkeypatch):
+    # Before, the second chains of each line were tried by themselves.
+    of = {b: c for c, b in p04.bytes_of("cp1252").items()}
+    shown = lambda text: "".join(chr(b) if b < 0x80 else of[b] for b in text.encode())
+    texts = [shown(f"é{i}ā la nécropole où l’on {i} vît") for i in range(60)] + [shown(shown(f"l’été{i} où “{i}” fut bâti")) for i in range(60)]
+    for name in ("repairs", "shown", "changed"):
+        monkeypatch.setattr(encodings, name, {})
+    want = [p04.repair(t, encodings) for t in texts]
+    calls = []
+    for of_words in ("shown_words", "changed_words"):
+        monkeypatch.setattr(p04, of_words, lambda words, model, tried=getattr(p04, of_words): calls.append(len(words)) or tried(words, model))
+    for name in ("repairs", "shown", "changed"):
+        monkeypatch.setattr(encodings, name, {})
+    assert list(p04.repair_all(texts, encodings)) == want and [t for t, _ in want[60:]] == [f"l’été{i} où “{i}” fut bâti" for i in range(60)]
+    assert len(calls) < 40
+
+
+def test_chains_of_long_words_in_parts(encodings, monkeypatch):
+    words = ["nÃ©cropole", "oÃ¹", "يقع", "№½0", "Î©", "a\u2009b"]
+    want = p04.changed_words(words, encodings)
+    monkeypatch.setattr(p04, "TOGETHER", 1)
+    assert p04.changed_words(words, encodings) == want
+    chains, become = p04.byte_chains()
+    score = lambda word: encodings.steps(f" {word} ").sum(dtype="float64")
+    for word, (gains, counts, gaining, most, _) in zip(words, want, strict=True):
+        texts = ["".join(become.get(c, (c,) * len(chains))[k] for c in word) for k in range(len(chains))]
+        assert gains == pytest.approx([score(x) - score(word) for x in texts], abs=1e-5)
+        assert counts == [sum(a != b for a, b in zip(word, x, strict=True)) for x in texts]
+        assert gaining == tuple(k for k, x in enumerate(gains) if x > 0) and most == max(0, *gains)
+
+
+def test_strict_order_of_chains_decides(encodings):
+    # Single bytes after UTF-8 make the same of this line as UTF-8 after single bytes: what the first way doesn't pass isn't accepted by the second.
+    line = "taken as a sign of ѕteаdу contact wіth the coast. In Zahoqa, Віrаhіуа still keeps thе craft of"
+    assert p04.repair(line, encodings) == (line, [])
+
+
+def test_unclean_lines_of_whole_texts():
+    draw = random.Random(4)
+    chars = "aZb  éÉāṣḥ–’“†№дЖПبتΩ\u0091�▓½ª·ÂÃ" + "".join(c for e in ("cp1256", "cp1251") for c in p04.bytes_of(e)) + "𝒳\r\u2028"
+    lines = ["".join(draw.choices(chars, k=draw.randrange(9))) for _ in range(5000)]
+    want = [bool(p04.unclean().search(x)) for x in lines]
+    assert p04.are_unclean("\n".join(lines)).tolist() == want and 500 < sum(want) < 4500
+    assert p04.clean_lines("\n".join(lines)) == [x for x, bad in zip(lines, want, strict=True) if not bad and len(x) > 1]
+    assert p04.are_unclean("").tolist() == [False] and p04.are_unclean("a\n\n").tolist() == [False] * 3
