@@ -7,7 +7,9 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from folioscope.llm import oracles, queries
@@ -568,6 +570,54 @@ def test_what_comes_again_is_taken_apart_once(monkeypatch):
     assert p02.WORD.letters < 31
 
 
+def odd_pages():
+    draw = random.Random(5)
+    pieces = ["a", "Zb", "aaa", "ككك", "日日日", "é", "Σ", "İ", "Ω", "e\u0301", "-", "‐\n", "-\n", "¬ \n", "\xad", "\n", "\n", " ", " ", "\t", "\x0b", "\x1c", "\xa0", "\u2009", "\r\n", "1", "42", "٣", "²", "½", "_", ";", "—", "iv", "𝒳𝒳𝒳", "x" * 31, "al-", "frorn", "\x00"]
+    texts = [x for x in ODD_TEXTS if "\ud800" not in x] + ["".join(draw.choices(draw.sample(pieces, draw.choice([2, 5, len(pieces)])), k=draw.randrange(60))) for _ in range(600)]
+    return texts + [f"{ENGLISH}\n{i}" for i in range(300)]
+
+
+def test_pages_of_a_batch_are_told_from_junk_together(monkeypatch):
+    # Before, each page was taken apart by itself, in two readers.
+    texts = odd_pages()
+    want, calls = [p02.junk(x) for x in texts], []
+    monkeypatch.setattr(p02, "junk", lambda text, rule=p02.junk: calls.append(text) or rule(text))
+    assert p02.junk_pages(pa.array(texts)).tolist() == want and 50 < sum(want) < len(calls) < len(texts) - 300
+
+
+def test_pages_of_a_batch_are_read_together(monkeypatch):
+    # Before, keys and words were taken from each page by itself.
+    texts = odd_pages()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [f"d{i % 3}" for i in range(len(texts))], "pdf_page": pa.array(range(len(texts)), pa.int32()), "ocr": [i % 2 == 0 for i in range(len(texts))], "text": texts})
+    calls = []
+    monkeypatch.setattr(p02, "keys_of", lambda text, rule=p02.keys_of: calls.append(text) or rule(text))
+    monkeypatch.setattr(p02, "PAGES_TOGETHER", 400)
+    read = {x["pdf_page"]: x for part in p02.read_lines(iter([batch])) for x in part.to_pylist()}
+    assert len(calls) == -(-len(texts) // 400) and sorted(read) == [i for i, x in enumerate(texts) if not p02.junk(x)]
+    for i, row in read.items():
+        lines = [(no, x) for no, x in enumerate(p02.composed(texts[i]).split("\n"), 1) if x and not x.isspace()]
+        numbers = [no for k, (no, x) in enumerate(lines) if row["ocr"] and min(k, len(lines) - 1 - k) < 2 and p02.NUMBER.match(x)]
+        keys = [(no, min(k, len(lines) - 1 - k), p02.keys_of(x)[0]) for k, (no, x) in enumerate(lines) if no not in numbers and len(p02.keys_of(x)[0]) >= p02.LEAST_KEY]
+        cuts = [(no, " ".join(m[1].lower() for _, y in lines[k + 1 : k + 4] if (m := p02.BEGIN.match(y)))) for k, (no, x) in enumerate(lines) if row["ocr"] and no not in numbers and p02.END.search(x)]
+        assert [x["line_no"] for x in row["numbers"]] == numbers and list(zip(row["nos"], row["edges"], strict=True)) == [x[:2] for x in keys]
+        assert row["ids"] == [xxhash.xxh3_64_intdigest(f"{row['doc_id']}\x00{key}") - (1 << 63) for *_, key in keys]
+        assert [(x["line_no"], x["key"]) for x in row["near"]] == [(no, key) for no, edge, key in keys if edge < 2] and [(x["line_no"], x["heads"]) for x in row["hyphens"]] == cuts
+    for known in (None, frozenset(["frorn", "zb", "σ"])):
+        got = [(x["pdf_page"], x["line_no"], x["word"]) for part in p02.misread_reader(known)(iter([batch])) for x in part.to_pylist() if x["word"] is not None]
+        want = {(i, no, w) for i in read for no, x in enumerate(p02.unbroken(p02.composed(texts[i].lower())).split("\n"), 1) for w in p02.WORD.findall(x) if known is None or w in known}
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_words_with_numerals_are_tried_where_they_may_be_explained(spark, monkeypatch):
+    # Before, every code of letters and numerals was written out once per character.
+    rows = [("quarter", 50, 5), ("modern", 50, 5), *[(f"quar{x}er", 0, 1) for x in "f5"], *[(f"show{x}", 50, 0) for x in "st"], *[(f"sh0w{x}", 0, 1) for x in "st"], ("h0use", 0, 1), ("house", 50, 0), ("modem", 0, 1), *[(f"k9{i}71f", 0, 1) for i in range(300)]]
+    tried = []
+    monkeypatch.setattr(p02, "with_gap", lambda words, keep, rule=p02.with_gap: tried.append(words) or rule(words, keep))
+    got = {(r["word"], r["printed"]) for r in p02.misread_words(spark.createDataFrame(rows, "word string, n_clean long, n_ocr long")).collect()}
+    assert got == {("sh0ws", "shows"), ("sh0wt", "showt"), ("h0use", "house"), ("modem", "modern")}
+    assert sum(x.count() for x in tried) < 20
+
+
 def test_unclean_lines_are_those_of_the_rules():
     draw = random.Random(3)
     chars = "aZb  éÉāṣḥ–’“†№дЖПبتΩ\u0091�▓½ª·ÂÃ" + "".join(c for e in ("cp1256", "cp1251") for c in p04.bytes_of(e))
